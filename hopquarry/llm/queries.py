@@ -4,11 +4,72 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, packing
+from . import byte_bpe, packing, url_filter, warc
 from .support import table
 
 
+#: (action, host, path)
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("block", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+OP1_SQL = """
+WITH parsed AS (
+  SELECT page_id,
+         coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), rules(action, rule_host, rule_path) AS (
+  VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'),
+         ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), fits AS (
+  SELECT host, path, rule_host || rule_path AS rule, action,
+         row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+  FROM (SELECT DISTINCT host, path FROM parsed) JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
+FROM parsed p LEFT JOIN fits f ON f.host = p.host AND f.path = p.path AND f.place = 1
+"""
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.archive_and_reassemble(spark, table(spark, sf_dir, "pages"))
+    return captures.select(
+        "metadata.page_id",
+        "response.payload_bytes",
+        "response.payload_digest",
+        "response.record_type",
+        F.col("metadata.refers_to").cast("long").alias("refers_to"),
+    )
+
+
+OP3_SQL = """
+WITH payloads AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), marked AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keeper
+  FROM payloads
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM marked
+"""
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -20,8 +81,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
+    "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op7_byte_bpe": op7_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL}

@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..deploy import ship_code
+
 #: ASCII white space, the separators of words in the word-based operators.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,6 +79,7 @@ def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
         for batch in batches:
             yield from fn(batch)
 
+    ship_code(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
