@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, url_filter, warc
+from . import byte_bpe, packing, substring_dedup, url_filter, warc
 from .support import table
 
 
@@ -74,6 +74,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
@@ -84,6 +88,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
 }
 

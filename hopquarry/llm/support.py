@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import math
 import tempfile
 import uuid
@@ -90,3 +91,9 @@ def texts_of(column: pa.Array) -> list[str]:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
