@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, substring_dedup, url_filter, warc
+from . import byte_bpe, packing, substring_dedup, url_filter, warc, winnowing
 from .support import table
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 #: (action, host, path)
 URL_RULES = [
     ("block", "com", "/en/"),
@@ -90,6 +94,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL}
