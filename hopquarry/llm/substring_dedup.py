@@ -31,12 +31,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
-from .support import release, stored
+from .support import stored
 from .words import (
+    POSTING_NAMES,
     POSTINGS,
     Flat,
     batches_of_texts,
@@ -52,8 +54,6 @@ from .words import (
 LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Bytes of text for each part of the hash space.
 BYTES_PER_PART = 32 << 20
-#: Part number of rows that hold spots settled in their batch.
-SETTLED = -1
 
 DOC = np.dtype([("doc_id", "<i8"), ("handle", "<i8")])
 SPOTS = "handle long, spots binary"
@@ -128,10 +128,12 @@ def level_map(window: int, level: int, before: int, parts: int):
             more = second[speak] if level == window else flags
             yield pack_postings(first_lane[speak], more, place[speak], doc[speak], docs, parts)
             if len(settled):
+                # they take the same shuffle, dealt by document, and pass the reducer by
                 handles, packed = spots_rows(docs["handle"][doc[settled]], place[settled])
-                empty = pa.array([b""] * len(handles), pa.binary())
-                columns = [pa.array([SETTLED] * len(handles), pa.int32()), pa.array([np.int64(h).tobytes() for h in handles], pa.binary()), empty, pa.array(packed, pa.binary()), empty, empty]
-                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in POSTINGS.split(", ")])
+                none = pa.array([b""] * len(handles), pa.binary())
+                own_part = pa.array((np.array(handles) % parts).astype("i4"), pa.int32())
+                columns = [own_part, none, none, pa.array(packed, pa.binary()), pa.array([np.int64(h).tobytes() for h in handles], pa.binary()), none]
+                yield pa.RecordBatch.from_arrays(columns, POSTING_NAMES)
 
     return run
 
@@ -140,6 +142,12 @@ def level_reduce(last: bool):
     """All entries of one part of the hash space to the spots that occur again."""
 
     def run(rows: pa.Table) -> pa.Table:
+        settled = pc.equal(pc.binary_length(rows["hashes"]), 0)
+        done = rows.filter(settled)
+        rows = rows.filter(pc.invert(settled))
+        out = [pa.table({"handle": pa.array(np.frombuffer(b"".join(done["docs"].to_pylist()), "<i8"), pa.int64()), "spots": done["places"]})]
+        if not len(rows):
+            return out[0]
         hashes, more, places, docs = unpack_postings(rows, "<u2", DOC)
         if last:
             order = np.lexsort((places, docs["handle"], docs["doc_id"], more, hashes))
@@ -152,26 +160,18 @@ def level_reduce(last: bool):
             # an entry that is flagged is settled in its batch and only tells the others
             found = np.flatnonzero((counts[group] > 1) & (more == 0))
         handles, packed = spots_rows(docs["handle"][found], places[found])
-        return pa.table({"handle": pa.array(handles, pa.int64()), "spots": pa.array(packed, pa.binary())})
+        out.append(pa.table({"handle": pa.array(handles, pa.int64()), "spots": pa.array(packed, pa.binary())}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def settled_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        handles = np.frombuffer(b"".join(batch.column(0).to_pylist()), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(handles, pa.int64()), batch.column(1)], ["handle", "spots"])
-
-
 def spots_of_level(rows: DataFrame, window: int, level: int, before: int, parts: int) -> DataFrame:
     """Per document the places of its windows of ``level`` words that occur again; stored."""
     mapped = rows.mapInArrow(level_map(window, level, before, parts), POSTINGS)
-    across = mapped.where(F.col("part") >= 0).groupBy("part").applyInArrow(level_reduce(level == window), SPOTS)
-    within = mapped.where(F.col("part") < 0).select("hashes", "places").mapInArrow(settled_rows, SPOTS)
-    spots = across.unionByName(within).groupBy("handle").agg(F.collect_list("spots").alias("spots"))
-    out = stored(spots, f"spots-{level}")
-    release(rows.sparkSession)
-    return out
+    spots = mapped.groupBy("part").applyInArrow(level_reduce(level == window), SPOTS)
+    spots = spots.groupBy("handle").agg(F.collect_list("spots").alias("spots"))
+    return stored(spots, f"spots-{level}")
 
 
 def word_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +229,6 @@ def dedup_substrings(documents: DataFrame, window: int = 20, id_col: str = "doc_
     some = likely_members(keyed, spots, "handle", spots.count())
     # rows that repeat a document are worked on once
     chosen = stored(some.join(spots, "handle").dropDuplicates(["handle"]).select("doc_id", "handle", "text", "spots"), "candidates")
-    release(documents.sparkSession)
     rows, before = chosen, short
     for level in (2 * short, window):
         spots = spots_of_level(rows, window, level, before, parts)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import contextlib
 import math
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,13 +58,29 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the time of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    This cuts the lineage, and the files outlive any executor.
+    This cuts the lineage, and the files outlive any executor.  The shuffle
+    files of the run are of no more use then, so Spark may drop them.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,8 +108,3 @@ def texts_of(column: pa.Array) -> list[str]:
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
-
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
