@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, substring_dedup, url_filter, warc, winnowing
+from . import byte_bpe, jaccard_join, packing, substring_dedup, url_filter, warc, winnowing
 from .support import table
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_fingerprints": op9_fingerprints,
 }
 

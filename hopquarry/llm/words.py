@@ -152,7 +152,7 @@ def unpack_postings(rows: pa.Table, more_kind: str, doc_kind: np.dtype) -> tuple
     for row in rows.to_pylist():
         own = np.frombuffer(row["hashes"], "<u8")
         hashes.append(own)
-        more.append(np.frombuffer(row["more"], more_kind))
+        more.append(np.frombuffer(row["more"], more_kind) if row["more"] else np.zeros(len(own), more_kind))
         wide = "<u4" if len(row["places"]) == 4 * len(own) else "<u2"
         places.append(np.frombuffer(row["places"], wide).astype(np.int64))
         docs.append(np.repeat(np.frombuffer(row["docs"], doc_kind), np.frombuffer(row["counts"], "<u4")))
