@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, packing, substring_dedup, url_filter, warc, winnowing
+from . import byte_bpe, jaccard_join, packing, substring_dedup, toxicity, url_filter, warc, winnowing
 from .support import table
 
 
@@ -52,6 +52,10 @@ FROM parsed p LEFT JOIN fits f ON f.host = p.host AND f.path = p.path AND f.plac
 """
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.archive_and_reassemble(spark, table(spark, sf_dir, "pages"))
     return captures.select(
@@ -94,6 +98,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_toxicity": op2_toxicity,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
