@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, jaccard_join, packing, substring_dedup, toxicity, url_filter, warc, winnowing
+from . import byte_bpe, embedding_dedup, html_extract, jaccard_join, packing, substring_dedup, toxicity, url_filter, warc, winnowing
 from .support import table
 
 
@@ -100,6 +100,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -110,6 +114,7 @@ QUERIES = {
     "op7_byte_bpe": op7_byte_bpe,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_fingerprints": op9_fingerprints,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL}
