@@ -213,17 +213,10 @@ def remaining(window: int, keep_text: bool):
     return run
 
 
-def dedup_substrings(documents: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """Return ``doc_id, n_words, n_removed, kept_sha256`` for each row.
-
-    With ``keep_text`` also ``handle`` and ``cut_text``: the kept words joined by
-    spaces, null where nothing was removed.
-    """
+def cut_rows(keyed: DataFrame, window: int, parts: int, keep_text: bool) -> DataFrame:
+    """``handle, n_removed, cut_sha256, cut_text`` of documents that may have repeated windows."""
     if window % 4:
         raise ValueError("window must be a multiple of 4")
-    ship_code(documents.sparkSession)
-    keyed = keyed_documents(documents, id_col, text_col)
-    parts = part_count(documents, text_col, BYTES_PER_PART)
     short = window // 4
     spots = spots_of_level(keyed.withColumn("spots", F.lit(None).cast("array<binary>")), window, short, 0, parts)
     some = likely_members(keyed, spots, "handle", spots.count())
@@ -233,13 +226,44 @@ def dedup_substrings(documents: DataFrame, window: int = 20, id_col: str = "doc_
     for level in (2 * short, window):
         spots = spots_of_level(rows, window, level, before, parts)
         rows, before = chosen.drop("spots").join(spots, "handle").select("doc_id", "handle", "text", "spots"), level
-    cut = rows.mapInArrow(remaining(window, keep_text), "handle long, n_removed long, cut_sha256 string, cut_text string")
+    return rows.mapInArrow(remaining(window, keep_text), "handle long, n_removed long, cut_sha256 string, cut_text string")
+
+
+def dedup_substrings(documents: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return ``doc_id, n_words, n_removed, kept_sha256`` for each row."""
+    ship_code(documents.sparkSession)
+    keyed = keyed_documents(documents, id_col, text_col)
+    cut = cut_rows(keyed, window, part_count(documents, text_col, BYTES_PER_PART), False)
     totals = keyed.mapInArrow(word_totals, "doc_id long, handle long, n_words long, whole_sha256 string")
-    out = totals.join(cut, "handle", "left").select(
+    return totals.join(cut, "handle", "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"),
         F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256"),
-        *(["handle", "cut_text"] if keep_text else []),
     )
-    return out
+
+
+def cut_documents(documents: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """``documents`` with repeated windows cut out of the texts; rows that lose all their words go.
+
+    Texts without repeated windows stay as they are, those of rows that have no
+    words from the start too.
+    """
+    ship_code(documents.sparkSession)
+    keyed = keyed_documents(documents, id_col, text_col)
+    cut = cut_rows(keyed, window, part_count(documents, text_col, BYTES_PER_PART), True)
+    cut = cut.where("n_removed > 0").select(F.col("handle").alias("cut_handle"), "cut_text")
+    own = F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # column names of the documents may clash with ours: keep theirs in a struct
+    whole = documents.select(F.struct(*documents.columns).alias("row"), own.alias("cut_key"))
+    joined = whole.join(cut, F.col("cut_key") == F.col("cut_handle"), "left").where("cut_text is null or cut_text != ''")
+    changed = F.col("cut_text").isNotNull()
+    columns = []
+    for name in documents.columns:
+        value = F.col("row").getField(name)
+        if name == text_col:
+            value = F.coalesce("cut_text", value)
+        elif name == size_col:
+            value = F.when(changed, F.char_length("cut_text").cast(documents.schema[name].dataType)).otherwise(value)
+        columns.append(value.alias(name))
+    return joined.select(*columns)
