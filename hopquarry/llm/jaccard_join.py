@@ -299,17 +299,26 @@ def across_components(members: DataFrame, roots: DataFrame, done: DataFrame) ->
     small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
     x_first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.a") < F.col("y.a")))
     place_small = F.when(x_first, F.col("x.place")).otherwise(F.col("y.place"))
-    at_most = F.least("x.place", "y.place") + F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
-    pairs = x.join(
+    place_large = F.when(x_first, F.col("y.place")).otherwise(F.col("x.place"))
+    meets = x.join(
         y,
         (F.col("x.shingle") == F.col("y.shingle"))
         & (F.col("x.root") != F.col("y.root"))
         & ((F.col("y.root") == F.col("y.main")) | (F.col("x.a") < F.col("y.a")))
         & (4 * small >= 3 * large)
-        & (place_small < small - F.floor((6 * small + 6) / 7) + 1)
-        & (7 * at_most >= 3 * (small + large)),
-    ).select(F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"))
-    return pairs.distinct().join(done, ["a", "b"], "left_anti")
+        & (place_small < small - F.floor((6 * small + 6) / 7) + 1),
+    ).select(
+        F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"),
+        small.alias("small"), large.alias("large"), place_small.alias("place_small"), place_large.alias("place_large"), "x.shingle",
+    )
+    # A pair that shares a small bucket is done already, so these are all the shingles that the two prefixes share.
+    # Up to the last of them the overlap is their number; after it, at most what is left of the shorter rest.
+    pairs = meets.groupBy("a", "b").agg(
+        F.countDistinct("shingle").alias("shared"), F.max("place_small").alias("last_small"), F.max("place_large").alias("last_large"),
+        F.first("small").alias("small"), F.first("large").alias("large"),
+    )
+    at_most = F.col("shared") + F.least(F.col("small") - F.col("last_small"), F.col("large") - F.col("last_large")) - 1
+    return pairs.where(7 * at_most >= 3 * (F.col("small") + F.col("large"))).select("a", "b").join(done, ["a", "b"], "left_anti")
 
 
 def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
