@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from ..deploy import ship_code
 
 #: Labelled rows to learn from, at most.
-TOXIC_ROWS = 900
-CLEAN_ROWS = 1800
+TOXIC_ROWS = 800
+CLEAN_ROWS = 1500
 #: Windows of a text to learn from, at most: those that look most toxic at the start.
 TEXT_WINDOWS = 16
 WINDOW = 32
@@ -49,6 +49,8 @@ ROUNDS = 5
 BATCH = 256
 STEPS = 160
 SEED = 7
+#: Texts whose occurrences are counted at once.
+TEXT_BLOCK = 100
 #: Words that are worked on at once, at about this number.
 FLAT_WORDS = 300_000
 #: Bytes that separate words besides letters, digits and bytes above 127.
@@ -99,7 +101,7 @@ class Vocabulary:
         owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
         slot = np.concatenate(slots) if slots else np.zeros(0, np.int64)
         order = np.argsort(owner, kind="stable")
-        self.gram_slots, self.gram_words = slot[order], owner[order]
+        self.gram_slots, self.gram_words = slot[order].astype(np.int32), owner[order].astype(np.int32)
         self.with_grams, self.gram_starts = np.unique(self.gram_words, return_index=True)
 
     def restricted(self, words: np.ndarray) -> Vocabulary:
@@ -216,15 +218,25 @@ class Network:
         return logits, ids, text, best
 
 
-def log_odds(slots: np.ndarray, texts: np.ndarray, toxic: np.ndarray, size: int) -> np.ndarray:
+class Odds:
     """Per slot how far texts that have it are toxic more often than all are; 0 where few texts have it."""
-    pairs = np.unique(slots * len(toxic) + texts)
-    slot, label = pairs // len(toxic), toxic[pairs % len(toxic)]
-    n, k = np.bincount(slot, minlength=size), np.bincount(slot, weights=label, minlength=size)
-    base, prior = toxic.mean(), 5.0
-    rate = (k + prior * base) / (n + prior)
-    least = 3 if toxic.sum() >= 40 else 2
-    return np.where(n >= least, np.log(rate / (1 - rate)) - np.log(base / (1 - base)), 0).astype("f4")
+
+    def __init__(self, toxic: np.ndarray, size: int):
+        self.toxic, self.size = toxic, size
+        self.texts, self.bad = np.zeros(size), np.zeros(size)
+
+    def add(self, slots: np.ndarray, texts: np.ndarray) -> None:
+        """Occurrences in texts that no other call has."""
+        pairs = np.unique(slots * len(self.toxic) + texts)
+        slot, label = pairs // len(self.toxic), self.toxic[pairs % len(self.toxic)]
+        self.texts += np.bincount(slot, minlength=self.size)
+        self.bad += np.bincount(slot, weights=label, minlength=self.size)
+
+    def values(self) -> np.ndarray:
+        base, prior = self.toxic.mean(), 5.0
+        rate = (self.bad + prior * base) / (self.texts + prior)
+        least = 3 if self.toxic.sum() >= 40 else 2
+        return np.where(self.texts >= least, np.log(rate / (1 - rate)) - np.log(base / (1 - base)), 0).astype("f4")
 
 
 def train(texts: list[str], labels: list[int]) -> Network | float:
@@ -236,18 +248,22 @@ def train(texts: list[str], labels: list[int]) -> Network | float:
     net = Network(rng)
     v = Vocabulary([words_of(t) for t in texts])
     text_of = np.repeat(np.arange(len(texts)), v.sizes)
-    distinct = np.unique(v.ids * len(texts) + text_of)
-    word, text = distinct // len(texts), distinct % len(texts)
-    net.word[:, 0] = log_odds(v.word_slots[word], text, toxic, 1 << WORD_BITS) / 2
+    odds = [Odds(toxic, 1 << WORD_BITS), Odds(toxic, 1 << GRAM_BITS)]
     starts = np.searchsorted(v.gram_words, np.arange(v.n + 1))
-    counts = np.diff(starts)[word]
-    spread = np.repeat(starts[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    net.gram[:, 0] = log_odds(v.gram_slots[spread], np.repeat(text, counts), toxic, 1 << GRAM_BITS) / 2
-    del distinct, word, text, spread, counts
+    for block in range(0, len(texts), TEXT_BLOCK):
+        inside = slice(*np.searchsorted(text_of, (block, block + TEXT_BLOCK)))
+        distinct = np.unique(v.ids[inside] * len(texts) + text_of[inside])
+        word, text = distinct // len(texts), distinct % len(texts)
+        odds[0].add(v.word_slots[word], text)
+        counts = np.diff(starts)[word]
+        spread = np.repeat(starts[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        odds[1].add(v.gram_slots[spread], np.repeat(text, counts))
+    net.word[:, 0], net.gram[:, 0] = (o.values() / 2 for o in odds)
+    del distinct, word, text, counts, spread
 
     x = net.embed(v)
     ids, _, text = v.windows()
-    first = x[ids][:, :, [0, PARTS]].sum(axis=2).max(axis=1)
+    first = (x[:, 0] + x[:, PARTS])[ids].max(axis=1)
     order = np.lexsort((-first, text))
     rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
     order = order[rank < TEXT_WINDOWS]
