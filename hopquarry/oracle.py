@@ -145,7 +145,8 @@ graph("gwin", min_df=2, ratio=0.1)
 graph("gt", "tment", 3, 0.1)
 entity_seeds("es", "g")
 entity_seeds("es_df", "g", power=0.5)
-entity_seeds("ts", "gt", "qtoks")
+CTES["qterms"] = "SELECT qid, term AS entity FROM qtoks"
+entity_seeds("ts", "gt", "qterms")
 for _w in ("raw", "softmax", "rank"):
     doc_seeds(f"ds_{_w}", "hits", 5, _w)
 doc_seeds("ds_rrf", "rrf", 5)
