@@ -47,7 +47,7 @@ GRAMS = (3, 4, 5, 6)
 ROUNDS = 5
 #: Windows in a step, at most, and steps in all, at least.
 BATCH = 256
-STEPS = 160
+STEPS = 320
 SEED = 7
 #: Texts whose occurrences are counted at once.
 TEXT_BLOCK = 100
