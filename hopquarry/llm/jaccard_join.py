@@ -9,8 +9,8 @@ as any similar set must share one of.  Rare comes first by a table of the
 frequent shingles, counted over all documents (bounded; any fixed order gives
 the same links, so the bound costs time at most).  Classes that meet at a
 shingle become a candidate pair if lengths, prefixes and positions allow the
-needed overlap; the pair is verified once, on the whole sets, after counts per
-hash range (a suffix filter at fixed pivots) have left the overlap possible.
+needed overlap; the pair is verified once, on the whole sets, after their
+bitmaps (a suffix filter over all shingles) have left the overlap possible.
 
 Buckets of more than ``SMALL`` classes do not emit all their pairs.  There each
 class is first paired with a few leaders only.  Then components show which
@@ -62,8 +62,8 @@ REPORT = 4
 #: Buckets of more classes are first joined through leaders.
 SMALL = 8
 BYTES_PER_PART = 32 << 20
-#: Ranges of the suffix filter.
-RANGES = 16
+#: Bits of a class's bitmap for each shingle, at least.
+BITS_PER_SHINGLE = 8
 
 DOC = np.dtype([("key", "<i8"), ("size", "<i4")])
 
@@ -85,8 +85,12 @@ class Sets:
         with np.errstate(over="ignore"):
             hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             hashes ^= hashes >> np.uint64(32)
-        order = np.lexsort((hashes, doc))
-        hashes, doc = hashes[order], doc[order]
+        if len(short):
+            order = np.argsort(doc, kind="stable")
+            hashes, doc = hashes[order], doc[order]
+        cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()
+        for begin, end in zip(cuts, cuts[1:], strict=False):
+            hashes[begin:end].sort()
         fresh = np.ones(len(doc), bool)
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
         self.hashes, self.doc = hashes[fresh], doc[fresh]
@@ -102,7 +106,18 @@ class Sets:
         return np.array(digests, np.uint64).astype(np.int64)
 
 
-CLASSES = "doc_id long, handle long, n_shingles long, key long, frequent binary"
+    def bitmap(self, k: int) -> bytes:
+        """A bit for each shingle, by its low bits; eight bits or more per shingle, in a power of two."""
+        n = int(self.sizes[k])
+        if not n:
+            return b""
+        bits = 1 << (BITS_PER_SHINGLE * n - 1).bit_length()
+        marks = np.zeros(bits, bool)
+        marks[self.of(k) & np.uint64(bits - 1)] = True
+        return np.packbits(marks, bitorder="little").tobytes()
+
+
+CLASSES = "doc_id long, handle long, n_shingles long, key long, frequent binary, bitmap binary"
 
 
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,8 +128,8 @@ def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = counts >= REPORT
         report = shingles[many].tobytes() + counts[many].astype("<u8").tobytes()
         frequent = [report if k == 0 and report else None for k in range(len(texts))]
-        columns = [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64()), pa.array(frequent, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "handle", "n_shingles", "key", "frequent"])
+        columns = [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64()), pa.array(frequent, pa.binary()), pa.array([sets.bitmap(k) for k in range(len(texts))], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "handle", "n_shingles", "key", "frequent", "bitmap"])
 
 
 def report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +163,8 @@ def posting_map(table, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = table.value
+        quick = np.zeros(1 << 20, bool)
+        quick[(shingles >> np.uint64(44)).astype(np.int64)] = True
         for _, texts in batches_of_texts(batches, 2):
             sets = Sets(texts)
             if not len(sets.hashes):
@@ -157,20 +174,27 @@ def posting_map(table, parts: int):
             chosen = np.zeros(len(texts), bool)
             chosen[first] = True
             chosen &= sets.sizes > 0
-            keep = chosen[sets.doc]
-            hashes, doc = sets.hashes[keep], sets.doc[keep]
-            seen = np.zeros(len(hashes), np.int64)
-            if len(shingles):
-                at = np.minimum(np.searchsorted(shingles, hashes), len(shingles) - 1)
-                seen = np.where(shingles[at] == hashes, counts[at], 0)
-            order = np.lexsort((hashes, seen, doc))
-            hashes, doc = hashes[order], doc[order]
             sizes = np.where(chosen, sets.sizes, 0)
-            place = np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]
-            head = place < prefix_size(sizes)[doc]
+            counts_of = np.zeros(len(sets.hashes), np.int64)
+            if len(shingles):
+                maybe = np.flatnonzero(quick[(sets.hashes >> np.uint64(44)).astype(np.int64)])
+                at = np.minimum(np.searchsorted(shingles, sets.hashes[maybe]), len(shingles) - 1)
+                counts_of[maybe] = np.where(shingles[at] == sets.hashes[maybe], counts[at], 0)
+            wanted = prefix_size(sizes)
+            hashes, place, doc = [], [], []
+            frequent = np.bincount(sets.doc, counts_of > 0, len(texts)) > 0
+            for k in np.flatnonzero(chosen).tolist():
+                own = sets.of(k)
+                if frequent[k]:  # else the hashes' order is the order already
+                    begin = sets.begins[k]
+                    own = own[np.argsort(counts_of[begin : begin + len(own)], kind="stable")]
+                n = int(wanted[k])
+                hashes.append(own[:n])
+                place.append(np.arange(n))
+                doc.append(np.full(n, k))
+            hashes, place, doc = np.concatenate(hashes), np.concatenate(place), np.concatenate(doc)
             docs = np.zeros(len(texts), DOC)
             docs["key"], docs["size"] = keys, sets.sizes
-            hashes, doc, place = hashes[head], doc[head], place[head]
             yield pack_postings(hashes, np.zeros((len(hashes), 0), "u1"), place, doc, docs, parts)
 
     return run
@@ -210,8 +234,10 @@ def meetings(rows: pa.Table) -> pa.Table:
         bucket = np.repeat(np.flatnonzero(large), count[large])
         with np.errstate(over="ignore"):
             scrambled = key.view(np.uint64) * np.uint64(MULTIPLIER)
-        for ranking in (key, -1 - key, scrambled, ~scrambled):
-            by = members[np.lexsort((ranking[members], bucket))]
+        # the first leader is the one with the least of its own before this shingle: near copies
+        # differ from what they were made of by rare shingles, and that text itself has none
+        for ranking in (place / size, key, scrambled):
+            by = members[np.lexsort((key[members], ranking[members], bucket))]
             lead = np.repeat(by[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])], count[large])
             left.append(np.minimum(lead, members)[lead != members])  # by size: the smaller set is on the left
             right.append(np.maximum(lead, members)[lead != members])
@@ -255,14 +281,39 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     needed = -(-3 * (len(a) + len(b)) // 7)
     if min(len(a), len(b)) < needed:
         return False
-    cuts = np.arange(1, RANGES, dtype=np.uint64) << np.uint64(36)
-    counts = [np.diff(np.r_[0, np.searchsorted(s, cuts), len(s)]) for s in (a, b)]
-    if np.minimum(*counts).sum() < needed:
-        return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     return int((a[at] == b).sum()) >= needed
 
 
+def possible_overlap(a: bytes, n: int, b: bytes, m: int) -> bool:
+    """Whether the bitmaps of two sets of sizes ``n`` and ``m`` leave the needed overlap possible.
+
+    A bit that only one of them has stands for a shingle, at least, that only it has.
+    """
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    alone_x, alone_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+    return 7 * min(n - alone_x, m - alone_y) >= 3 * (n + m)
+
+
+def bitmap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, n, m = (batch.column(k).to_pylist() for k in range(2, 6))
+        yield batch.select(["a", "b"]).filter(pa.array([possible_overlap(*p) for p in zip(a, n, b, m, strict=True)], pa.bool_()))
+
+
+def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs whose sets' bitmaps leave the needed overlap possible: a suffix filter over all shingles; stored."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    maps = stored(classes.join(wanted, "key", "left_semi").select("key", "bitmap", F.col("n_shingles").alias("n")).dropDuplicates(["key"]), "bitmaps")
+    with_b = pairs.join(maps.toDF("b", "map_b", "m"), "b")
+    with_both = with_b.join(maps.toDF("a", "map_a", "n"), "a").select("a", "b", "map_a", "map_b", "n", "m")
+    return stored(with_both.mapInArrow(bitmap_rows, "a long, b long"), "filtered")
+
+
 def verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = [linked(unpacked_set(x.as_py()), unpacked_set(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
@@ -331,10 +382,12 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     parts = part_count(documents, text_col, BYTES_PER_PART)
     found = stored(keyed.mapInArrow(posting_map(table, parts), POSTINGS).groupBy("part").applyInArrow(meetings, MEETINGS), "meetings")
     pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    known = classes.where("n_shingles > 0").select("key", "handle")
-    checked = stored(verified(pairs, sets_of(pairs, keyed, known)), "checked")
+    known = classes.where("n_shingles > 0").select("key", "handle", "n_shingles", "bitmap")
+    likely = suffix_filtered(pairs, known)
+    checked = stored(verified(likely, sets_of(likely, keyed, known)), "checked")
     roots = connected_components(checked.where("linked").select("a", "b"))
-    left = stored(across_components(found.where("kind = 1").select("shingle", "a", "size", "place"), roots, checked), "left")
+    left = stored(across_components(found.where("kind = 1").select("shingle", "a", "size", "place"), roots, pairs), "left")
+    left = suffix_filtered(left, known) if not left.isEmpty() else left
     if not left.isEmpty():
         late = stored(verified(left, sets_of(left, keyed, known)), "checked").where("linked").select("a", "b")
         roots = connected_components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
