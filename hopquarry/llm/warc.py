@@ -239,7 +239,8 @@ def assemble_transactions(records: DataFrame) -> DataFrame:
             F.max(F.when(F.col("record_type") == "metadata", F.struct("record_id", "page_id", "refers_to"))).alias("metadata"),
         )
     )
-    return captures.join(beside, "capture", "left")
+    # the records come from a manifest of a few rows, so the planner would take them for small
+    return captures.join(beside.hint("merge"), "capture", "left")
 
 
 def archive_and_reassemble(spark: SparkSession, pages: DataFrame) -> DataFrame:
