@@ -47,8 +47,10 @@ GRAMS = (3, 4, 5, 6)
 ROUNDS = 5
 #: Windows in a step, at most, and steps in all, at least.
 BATCH = 256
-STEPS = 320
+STEPS = 160
 SEED = 7
+#: Standard deviations from chance at which a word or n-gram starts with a weight.
+CLEAR = 3.0
 #: Texts whose occurrences are counted at once.
 TEXT_BLOCK = 100
 #: Words that are worked on at once, at about this number.
@@ -235,8 +237,10 @@ class Odds:
     def values(self) -> np.ndarray:
         base, prior = self.toxic.mean(), 5.0
         rate = (self.bad + prior * base) / (self.texts + prior)
-        least = 3 if self.toxic.sum() >= 40 else 2
-        return np.where(self.texts >= least, np.log(rate / (1 - rate)) - np.log(base / (1 - base)), 0).astype("f4")
+        # what a few texts have by chance would only tell those very texts apart
+        chance = np.sqrt(np.maximum(self.texts * base * (1 - base), 1e-9))
+        clear = np.abs(self.bad - self.texts * base) >= CLEAR * chance
+        return np.where(clear, np.log(rate / (1 - rate)) - np.log(base / (1 - base)), 0).astype("f4")
 
 
 def train(texts: list[str], labels: list[int]) -> Network | float:
