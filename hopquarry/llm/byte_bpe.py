@@ -37,7 +37,7 @@ from .support import map_batches, text_or_empty, texts_of
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 MAX_CACHED = 64
-CACHE_ENTRIES = 700_000
+CACHE_ENTRIES = 400_000
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

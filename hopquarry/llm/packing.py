@@ -36,7 +36,7 @@ CAPACITY = 2048
 PER_SHARD = 2000
 #: A bin with at most this share of its capacity free counts as filled.
 FILLED = 1 / 256
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 MAX_CACHED = 64
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"

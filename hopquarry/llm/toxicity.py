@@ -54,7 +54,7 @@ CLEAR = 3.0
 #: Texts whose occurrences are counted at once.
 TEXT_BLOCK = 100
 #: Words that are worked on at once, at about this number.
-FLAT_WORDS = 300_000
+FLAT_WORDS = 150_000
 #: Bytes that separate words besides letters, digits and bytes above 127.
 BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
