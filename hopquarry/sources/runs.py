@@ -57,7 +57,8 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_metrics(spark: SparkSession, config: dict, results: list[dict], path: str) -> None:
-    row = spark.read.schema(METRICS).json(spark.createDataFrame([(json.dumps({"config": config, "results": results}),)], "value string"))
+    row = spark.createDataFrame([(json.dumps({"config": config, "results": results}),)], "value string")
+    row = row.select(F.from_json("value", METRICS).alias("m")).select("m.*")
     row.write.mode("overwrite").json(f"{path}/metrics.json")
 
 
