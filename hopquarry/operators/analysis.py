@@ -25,9 +25,9 @@ def entity_buckets(queries: DataFrame, gold_titles: DataFrame, found: DataFrame,
     return rows.select("qid", F.coalesce("n_entities", F.lit(0)).alias("n_entities"), bucket.alias("bucket"))
 
 
-def bucket_metrics(buckets: DataFrame, gold: DataFrame, retrieved: DataFrame, k: int = 10) -> DataFrame:
+def bucket_metrics(buckets: DataFrame, gold: DataFrame, retrieved: DataFrame, k: int = 10, groups: DataFrame | None = None) -> DataFrame:
     """``bucket, method, count, rate, recall, hit, mrr``; repeated gold counts as often as it stands there."""
-    rows = metrics.per_query(gold, retrieved, (k,), dedup=False, keys=("method",)).join(buckets, "qid")
+    rows = metrics.per_query(gold, retrieved, (k,), dedup=False, keys=("method",), groups=groups).join(buckets, "qid")
     total = buckets.agg(F.count("*").alias("total"))
     out = rows.groupBy("bucket", "method").agg(
         F.count("*").alias("count"), F.avg(f"recall_{k}").alias("recall"), F.avg(f"hit_{k}").alias("hit"), F.avg("rr").alias("mrr")

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_answer
 
 
-def per_query(gold: DataFrame, retrieved: DataFrame, ks: tuple[int, ...], cut_rr: int | None = None, dedup: bool = True, keys: tuple[str, ...] = ()) -> DataFrame:
+def per_query(gold: DataFrame, retrieved: DataFrame, ks: tuple[int, ...], cut_rr: int | None = None, dedup: bool = True, keys: tuple[str, ...] = (), groups: DataFrame | None = None) -> DataFrame:
     """``(keys, qid), rr, hit_k…, recall_k…`` for questions that have gold; missing rankings count as empty.
 
-    ``retrieved`` has the keys, qid, doc_id and rank.
+    ``retrieved`` has the keys, qid, doc_id and rank.  ``groups`` names the values
+    of the keys; without it they are found in ``retrieved``, which is then read twice.
     """
     ks = tuple(sorted(set(ks)))
     truth = gold.select("qid", "doc_id")
     truth = truth.distinct() if dedup else truth
-    groups = retrieved.select(*keys).distinct() if keys else None
+    if keys and groups is None:
+        groups = retrieved.select(*keys).distinct()
     wanted = truth.crossJoin(F.broadcast(groups)) if groups is not None else truth
     best = retrieved.groupBy(*keys, "qid", "doc_id").agg(F.min("rank").alias("rank"))
     joined = wanted.join(best, [*keys, "qid", "doc_id"], "left")
@@ -32,9 +34,9 @@ def per_query(gold: DataFrame, retrieved: DataFrame, ks: tuple[int, ...], cut_rr
     return joined.groupBy(*keys, "qid").agg(rr.alias("rr"), *hits, *recalls)
 
 
-def evaluate(gold: DataFrame, retrieved: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), keys: tuple[str, ...] = ()) -> DataFrame:
+def evaluate(gold: DataFrame, retrieved: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), keys: tuple[str, ...] = (), groups: DataFrame | None = None) -> DataFrame:
     """Averages over questions: ``n, mrr, hit_k…, recall_k…``; zeros without questions."""
-    rows = per_query(gold, retrieved, ks, keys=keys)
+    rows = per_query(gold, retrieved, ks, keys=keys, groups=groups)
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     values = [c for c in rows.columns if c.startswith(("hit_", "recall_"))]
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), mean("rr").alias("mrr"), *[mean(c).alias(c) for c in values])

@@ -318,8 +318,15 @@ for _name, _method, _cte in (
 # evaluation and analysis
 
 
+LEXICAL = ["bm25", "rm3"]
+
+
 def lexical_runs(e: methods.Engine) -> DataFrame:
-    return methods.retrieve(e, ["bm25", "rm3"])
+    return methods.retrieve(e, LEXICAL)
+
+
+def names(e: methods.Engine) -> DataFrame:
+    return e.corpus.docs.sparkSession.createDataFrame([(m,) for m in LEXICAL], "method string")
 
 
 BOTH = "(SELECT 'bm25' AS method, * FROM {0} UNION ALL SELECT 'rm3' AS method, * FROM {0}_rm3)"
@@ -329,7 +336,7 @@ MEANS = ", ".join(f"round(avg({n}_{k}), 6) AS {n}_{k}" for n in ("hit", "recall"
 @query(sql(f"SELECT method, count(*) AS n, round(avg(rr), 6) AS mrr, {MEANS} FROM {BOTH.format('sc')} GROUP BY method"))
 def e1_metrics(spark, sf_dir):
     e = engine(spark, sf_dir)
-    rows = metrics.evaluate(e.corpus.gold, lexical_runs(e), keys=("method",))
+    rows = metrics.evaluate(e.corpus.gold, lexical_runs(e), keys=("method",), groups=names(e))
     return rows.select("method", "n", *[F.round(c, 6).alias(c) for c in rows.columns if c not in ("method", "n")])
 
 
@@ -361,28 +368,28 @@ def e5_e6_bucket_metrics(spark, sf_dir):
     e = engine(spark, sf_dir)
     titles = e.corpus.gold.join(e.corpus.docs.select("doc_idx", F.regexp_replace("title", r" \([^)]*\)$", "").alias("title")), "doc_idx").select("qid", "title")
     buckets = analysis.entity_buckets(e.corpus.queries, titles, ppr.question_entities(e.corpus.queries))
-    rows = analysis.bucket_metrics(buckets, e.corpus.gold, lexical_runs(e))
+    rows = analysis.bucket_metrics(buckets, e.corpus.gold, lexical_runs(e), groups=names(e))
     return rows.select("bucket", "method", "count", *[F.round(c, 6).alias(c) for c in ("recall", "hit", "mrr", "rate")])
 
 
 @query(sql(f"SELECT method, qid, round(rr, 6) AS rr, hit_10, round(recall_10, 6) AS recall_10 FROM {BOTH.format('sc10')}"))
 def e7_per_query(spark, sf_dir):
     e = engine(spark, sf_dir)
-    rows = metrics.per_query(e.corpus.gold, lexical_runs(e), (10,), cut_rr=10, keys=("method",))
+    rows = metrics.per_query(e.corpus.gold, lexical_runs(e), (10,), cut_rr=10, keys=("method",), groups=names(e))
     return rows.select("method", "qid", F.round("rr", 6).alias("rr"), "hit_10", F.round("recall_10", 6).alias("recall_10"))
 
 
 @query()
 def e8_bootstrap(spark, sf_dir):
     e = engine(spark, sf_dir)
-    rows = metrics.per_query(e.corpus.gold, lexical_runs(e), (10,), cut_rr=10, keys=("method",))
+    rows = metrics.per_query(e.corpus.gold, lexical_runs(e), (10,), cut_rr=10, keys=("method",), groups=names(e))
     return metrics.bootstrap(metrics.paired(rows, "rr"), 1000)
 
 
 @query(sql(f"SELECT a.method AS baseline, b.method AS method, round(avg(b.rr - a.rr), 6) AS mean_diff, count(*) FILTER (b.rr > a.rr) AS wins, count(*) FILTER (b.rr = a.rr) AS ties, count(*) FILTER (b.rr < a.rr) AS losses, count(*) AS n FROM {BOTH.format('sc10')} a JOIN {BOTH.format('sc10')} b ON a.qid = b.qid AND a.method <> b.method GROUP BY ALL"))
 def e9_comparison(spark, sf_dir):
     e = engine(spark, sf_dir)
-    rows = metrics.compare_methods(metrics.per_query(e.corpus.gold, lexical_runs(e), (10,), cut_rr=10, keys=("method",)), "rr")
+    rows = metrics.compare_methods(metrics.per_query(e.corpus.gold, lexical_runs(e), (10,), cut_rr=10, keys=("method",), groups=names(e)), "rr")
     return rows.withColumn("mean_diff", F.round("mean_diff", 6))
 
 
@@ -417,7 +424,7 @@ def e13_doc_costs(spark, sf_dir):
 @query(sql(f"SELECT method, round(avg(recall_1), 6) AS \"1\", round(avg(recall_5), 6) AS \"5\", round(avg(recall_10), 6) AS \"10\" FROM {BOTH.format('sc')} GROUP BY method"))
 def e14_pivot(spark, sf_dir):
     e = engine(spark, sf_dir)
-    rows = metrics.evaluate(e.corpus.gold, lexical_runs(e), keys=("method",))
+    rows = metrics.evaluate(e.corpus.gold, lexical_runs(e), keys=("method",), groups=names(e))
     long = rows.select("method", F.explode(F.map_from_arrays(F.array(F.lit(1), F.lit(5), F.lit(10)), F.array("recall_1", "recall_5", "recall_10"))).alias("k", "value"))
     return analysis.pivot_metrics(long.withColumn("value", F.round("value", 6)), ["method"], (1, 5, 10))
 
