@@ -3,14 +3,15 @@
 Rows of one label with bitwise equal vectors form a class; classes are what is
 compared.  Coarse centroids cut the unit sphere into lists, and each class lies
 in the list of its nearest centroid with its residual coded by a codebook per
-subspace.  As a query, a class probes those lists whose cells its search radius
-reaches, nearest first, ``PROBES`` at most.  In a list, the distances to all
-entries come from tables of the query's distances to the codewords; entries that
-may lie within the radius, given their own coding error, are reranked by the
-cosine in double precision.
-
-A pair counts once for each side, whichever side found it; no pair is emitted.
-Per list and block come counts per class, and a spanning forest of the links,
+subspace.  As a query, a class probes all lists whose cells its search radius
+reaches.  In a list, the distances to all entries come from tables of the query's
+distances to the codewords; entries that may lie within the radius, given their
+own coding error, are reranked by the cosine in double precision.  A class that
+reaches many lists (``wide_from``: diffuse vectors, large groups of near copies)
+is compared with all classes of its label instead, by the cosine, in blocks; such
+work grows with the square of a label's classes.  So no link is lost.
+
+Each side of a pair finds and counts it; no pair is emitted.  Per list and block come counts per class, and a spanning forest of the links,
 which is all that the components need.  Lists are dealt in chunks of bounded
 size to blocks of queries, so a list of any size is many tasks.
 
@@ -38,7 +39,10 @@ from .support import stored
 COSINE = 0.93
 SAMPLE = 20_000
 LISTS = (8, 1024)
-PROBES = 6
+#: A class is compared with its whole label if it reaches more lists than this, and than one in ``WIDE_PART``.
+WIDE, WIDE_PART = 6, 8
+#: Stands for the whole label where a list is named.
+WHOLE = -1
 SUBSPACES = 8
 CODEWORDS = 64
 FIT_ROUNDS = 8
@@ -80,12 +84,11 @@ class Quantiser:
         """The list of each vector, and the lists to probe: the cells that a ball of ``radius`` reaches."""
         far = squared_distances(x, self.coarse)
         own = far.argmin(1)
-        # distance to the plane between the own cell and each other one
-        margin = (far - far[np.arange(len(x)), own, None]) / (2 * np.maximum(self.between[own], 1e-12))
-        margin[np.arange(len(x)), own] = -1
-        near = np.argsort(margin, axis=1, kind="stable")[:, :PROBES]
-        reached = np.take_along_axis(margin, near, 1) <= radius
-        return own, [n[r] for n, r in zip(near, reached, strict=True)]
+        # far - own <= 2 * radius * between: the plane between the own cell and the other one is within the radius
+        gap = far - far[np.arange(len(x)), own, None]
+        reached = gap <= 2 * radius * self.between[own] + 1e-9
+        reached[np.arange(len(x)), own] = True
+        return own, [np.flatnonzero(r) for r in reached]
 
     def encode(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the distance between each vector and what its code stands for."""
@@ -144,11 +147,24 @@ def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[label[other]]
 
 
+def thinned(i: np.ndarray, j: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Marks of edges between ``n`` and ``m`` nodes that connect what all of them do: few, if there are many."""
+    keep = np.zeros(len(i), bool)
+    for nodes, size in ((i, n), (j, m)):
+        one = np.full(size, -1)
+        one[nodes] = np.arange(len(nodes))
+        keep[one[one >= 0]] = True
+    label = np.arange(n + m)
+    a, b = forest(i[keep], n + j[keep])
+    label[a] = b
+    return keep | (label[i] != label[n + j])
+
+
 LINKS = "kind byte, a long, b long"
 
 
 def list_links(quantiser, cosine: float):
-    """Links between the entries (left) and the queries (right) of one list: counts (0) and forest edges (1)."""
+    """Links of the queries (right) to the entries (left) of one list or label: counts (0) and forest edges (1)."""
     radius = np.sqrt(2 - 2 * cosine) + 1e-9
 
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
@@ -158,40 +174,42 @@ def list_links(quantiser, cosine: float):
         if len(left) and len(right):
             which = int(left["list"].iloc[0])
             y, x = unit_vectors(left["vector"].tolist()), unit_vectors(right["q_vector"].tolist())
-            codes, error = q.encode(y, np.full(len(y), which))
-            y_key, x_key = left["key"].to_numpy(), right["q_key"].to_numpy()
-            y_n, x_n = left["n"].to_numpy(), right["q_n"].to_numpy()
-            x_home = right["q_home"].to_numpy()
-            probed = np.zeros((len(y), len(q.coarse)), bool)
-            for k, probes in enumerate(left["probes"]):
-                probed[k, probes] = True
-            x_count, y_count = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+            if which != WHOLE:
+                codes, error = q.encode(y, np.full(len(y), which))
+            y_key, x_key, y_n = left["key"].to_numpy(), right["q_key"].to_numpy(), left["n"].to_numpy()
+            x_count = np.zeros(len(x), np.int64)
             for k in range(0, len(x), 512):
                 rows = slice(k, k + 512)
-                maybe = q.coded_distances(x[rows], which, codes) <= (radius + error) ** 2
-                i, j = np.nonzero(maybe)
-                if len(i) > maybe.size // 8:
-                    good = (x[rows] @ y.T)[i, j] >= cosine
+                if which == WHOLE:
+                    i, j = np.nonzero(x[rows] @ y.T >= cosine)
                 else:
-                    good = np.einsum("nd,nd->n", x[rows][i], y[j]) >= cosine
-                i, j = i[good] + k, j[good]
+                    maybe = q.coded_distances(x[rows], which, codes) <= (radius + error) ** 2
+                    i, j = np.nonzero(maybe)
+                    if len(i) > maybe.size // 8:
+                        good = (x[rows] @ y.T)[i, j] >= cosine
+                    else:
+                        good = np.einsum("nd,nd->n", x[rows][i], y[j]) >= cosine
+                    i, j = i[good], j[good]
+                i = i + k
                 apart = x_key[i] != y_key[j]
                 i, j = i[apart], j[apart]
                 np.add.at(x_count, i, y_n[j])
-                alone = ~probed[j, x_home[i]]  # the entry does not probe the query's list: count it here
-                np.add.at(y_count, j[alone], x_n[i[alone]])
                 if len(i):
-                    a, b = forest(x_key[i], y_key[j])
+                    few = thinned(i - k, j, len(x[rows]), len(y))
+                    a, b = forest(x_key[i[few]], y_key[j[few]])
                     out.append((np.ones(len(a), np.int8), a, b))
-            for keys, counts in ((x_key, x_count), (y_key, y_count)):
-                some = counts > 0
-                out.append((np.zeros(some.sum(), np.int8), keys[some], counts[some]))
+            some = x_count > 0
+            out.append((np.zeros(some.sum(), np.int8), x_key[some], x_count[some]))
         kind, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"kind": pa.array(kind, pa.int8()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
+def wide_from(lists: int) -> int:
+    return max(WIDE, lists // WIDE_PART)
+
+
 def place_rows(quantiser, cosine: float):
     radius = float(np.sqrt(2 - 2 * cosine))
 
@@ -201,7 +219,9 @@ def place_rows(quantiser, cosine: float):
             if not vectors:
                 continue
             own, probes = quantiser.value.place(unit_vectors(vectors), radius)
-            columns = [*batch.columns, pa.array(own.astype("i4"), pa.int32()), pa.array([p.astype("i4") for p in probes], pa.list_(pa.int32()))]
+            wide = wide_from(len(quantiser.value.coarse))
+            probes = [p.astype("i4") if len(p) <= wide else np.array([WHOLE], "i4") for p in probes]
+            columns = [*batch.columns, pa.array(own.astype("i4"), pa.int32()), pa.array(probes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "key", "vector", "n", "home", "probes"])
 
     return run
@@ -238,14 +258,14 @@ def near_duplicates(
         classes.select("label", "key", "vector", "n").mapInArrow(place_rows(quantiser, cosine), "label long, key long, vector binary, n long, home int, probes array<int>"),
         "placed",
     )
-    asked = placed.select("label", "key", "vector", "n", "home", F.explode("probes").alias("list"))
+    asked = placed.select("label", "key", "vector", F.explode("probes").alias("list"))
+    held = placed.select("label", "key", "vector", "n", F.explode(F.array("home", F.lit(WHOLE))).alias("list"))
     # chunks of entries and blocks of queries in each list
-    entries_in = placed.groupBy("label", F.col("home").alias("list")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    entries_in = held.groupBy("label", "list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     queries_in = asked.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     sizes = stored(entries_in.join(queries_in, ["label", "list"]), "sizes")
     entries = (
-        placed.withColumnRenamed("home", "list")
-        .join(sizes, ["label", "list"])
+        held.join(sizes, ["label", "list"])
         .withColumn("chunk", F.pmod("key", "chunks").cast("long"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
@@ -256,9 +276,9 @@ def near_duplicates(
     )
     key = ["label", "list", "chunk", "block"]
     found = (
-        entries.select(*key, "key", "vector", "n", "probes")
+        entries.select(*key, "key", "vector", "n")
         .groupBy(*key)
-        .cogroup(queries.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "key", "vector", "n", "home")]).groupBy(*[f"q_{c}" for c in key]))
+        .cogroup(queries.select(*[F.col(c).alias(f"q_{c}") for c in (*key, "key", "vector")]).groupBy(*[f"q_{c}" for c in key]))
         .applyInArrow(list_links(quantiser, cosine), LINKS)
     )
     found = stored(found, "links")

@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,6 +282,24 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in got if i >= n)
 
 
+def test_embeddings_of_a_large_group_of_near_copies(spark, tmp_path):
+    """Far more lists than a few lie in the group, and each member links across all of them."""
+    rng = np.random.default_rng(6)
+    n, hot, dim = 40_000, 9_000, 64
+    vectors = rng.standard_normal((n, dim))
+    centre = rng.standard_normal(dim)
+    vectors[:hot] = centre + 0.2 * np.linalg.norm(centre) / np.sqrt(dim) * vectors[:hot]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = np.concatenate([(unit[k : k + 1000] @ unit.T >= 0.93).sum(1) for k in range(0, n, 1000)]) - 1
+    columns = {"vec_id": np.arange(n), "label": np.zeros(n, "i4"), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(vectors.ravel()), dim).cast(pa.list_(pa.float64()))}
+    pq.write_table(pa.table(columns), f"{tmp_path}/embeddings.parquet")
+    got = embedding_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/embeddings.parquet")).orderBy("vec_id").toPandas()
+    links = got["n_links"].to_numpy()
+    assert want[:hot].sum() > 10 * hot
+    # cosines within rounding of the threshold may fall on either side
+    assert abs(int(links.sum()) - int(want.sum())) <= 1e-6 * want.sum() and np.abs(links - want).max() <= 2
+
+
 def test_byte_bpe(spark, documents, texts):
     import tiktoken
 
