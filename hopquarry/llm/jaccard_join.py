@@ -22,7 +22,8 @@ bucket of near copies costs a number of pairs in proportion to its size.
 Defined results: null and empty texts have no shingles and are linked with
 nothing; with fewer than ``SHINGLE`` words the whole sequence is the one
 shingle; repeated rows get the result of their set each; repeated ids of other
-texts are nodes of their own; extra columns are dropped; an empty table gives
+texts are nodes of their own; a null id is never the least, so it is the result
+only where a component has no other; extra columns are dropped; an empty table gives
 an empty table.
 """
 
@@ -394,7 +395,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     table.unpersist()
 
     # each class's least id, then each component's; only then back to the rows
-    least = classes.where("n_shingles > 0").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id"))["doc_id"].alias("least"))
+    least = classes.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, least["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(component, "root").select("key", "component_id")

@@ -245,6 +245,19 @@ def test_jaccard_join_of_chains_in_large_buckets(spark):
     assert got == brute_jaccard(rows)
 
 
+def test_jaccard_join_of_null_ids(spark):
+    """A null id is never the least one, within a set's copies or in a component of several sets."""
+    rng = random.Random(12)
+    words = [f"u{rng.randrange(10**6)}" for _ in range(60)]
+    near = " ".join(words[:30] + ["other"] + words[31:])
+    copy, alone = " ".join(words), "only rows without an id have these words"
+    rows = [(2, copy), (None, copy), (1, copy), (0, near), (None, near), (None, alone), (None, alone)]
+    for some, least in ((rows[:3], 1), (rows, 0)):
+        got = jaccard_join.similar_documents(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert sorted(r.component_id for r in got if r.n_shingles != 4) == [least] * min(len(some), 5)
+    assert [r.component_id for r in got if r.n_shingles == 4] == [None, None]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(7, 7)]
