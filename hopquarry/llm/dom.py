@@ -34,6 +34,39 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+class Stack:
+    """The open elements, and for each tag name the places where it is open: the innermost is found at any depth."""
+
+    def __init__(self):
+        self.nodes, self.tags = [0], ["#document"]
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []  # places of ``P_SCOPE`` elements
+
+    def push(self, node: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.nodes))
+        if tag in P_SCOPE:
+            self.scopes.append(len(self.nodes))
+        self.nodes.append(node)
+        self.tags.append(tag)
+
+    def cut(self, depth: int) -> None:
+        """Close all elements from this place on."""
+        for tag in self.tags[depth:]:
+            self.places[tag].pop()
+        while self.scopes and self.scopes[-1] >= depth:
+            self.scopes.pop()
+        del self.nodes[depth:], self.tags[depth:]
+
+    def last(self, names: set[str]) -> int:
+        return max((at[-1] for name in names if (at := self.places.get(name))), default=0)
+
+    def find(self, wanted: set[str], scope: set[str]) -> int:
+        """The place of the innermost wanted element, 0 if there is none inside the scope."""
+        depth = self.last(wanted)
+        end = (self.scopes[-1] if self.scopes else 0) if scope is P_SCOPE else self.last(scope)
+        return depth if depth >= end else 0
+
+
 class Page:
     """Nodes (``tags``, ``parents``, ``depths``, ``names``) and pieces of text (node, block, text).
 
@@ -47,7 +80,7 @@ class Page:
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        stack, block, at, size, tag_pattern = [0], 0, 0, len(html), TAG
+        stack, block, at, size, tag_pattern = Stack(), 0, 0, len(html), TAG
         tags, pieces = self.tags, self.pieces
         while at < size:
             found = html.find("<", at)
@@ -55,7 +88,7 @@ class Page:
                 found = size
             if found > at:
                 text = html[at:found]
-                pieces.append((stack[-1], block, unescape(text) if "&" in text else text))
+                pieces.append((stack.nodes[-1], block, unescape(text) if "&" in text else text))
                 at = found
                 continue
             ahead = html[at + 1 : at + 2]
@@ -72,28 +105,28 @@ class Page:
                 tag_pattern = BARE_TAG  # a quote without its other half: quotes mean nothing from here on
                 continue
             if match is None:
-                pieces.append((stack[-1], block, "<"))
+                pieces.append((stack.nodes[-1], block, "<"))
                 at += 1
                 continue
             at = match.end()
             closing, name, rest = match[1], match[2].lower(), match[3]
             if closing:
-                depth = self._open(stack, {name}, {"table"} if name not in ("table", "body", "html") else set())
+                depth = stack.find({name}, {"table"} if name not in ("table", "body", "html") else set())
                 if depth:
-                    del stack[depth:]
+                    stack.cut(depth)
                 if name in BLOCK:
                     block += 1
                 continue
             if name in ENDS_P:
-                depth = self._open(stack, {"p"}, P_SCOPE)
+                depth = stack.find({"p"}, P_SCOPE)
                 if depth:
-                    del stack[depth:]
+                    stack.cut(depth)
             if name in ENDS:
                 ended, scope = ENDS[name]
-                while depth := self._open(stack, ended, scope):
-                    del stack[depth:]
+                while depth := stack.find(ended, scope):
+                    stack.cut(depth)
             if name == "br":
-                pieces.append((stack[-1], block, " "))
+                pieces.append((stack.nodes[-1], block, " "))
                 continue
             if name in BLOCK:
                 block += 1
@@ -105,21 +138,11 @@ class Page:
                 continue
             node = len(tags)
             tags.append(name)
-            self.parents.append(stack[-1])
-            self.depths.append(len(stack))
+            self.parents.append(stack.nodes[-1])
+            self.depths.append(len(stack.nodes))
             self.names.append(tuple(t.lower() for _, v in ATTRIBUTE.findall(rest) for t in TOKEN.findall(v)) if "=" in rest else ())
             if not rest.endswith("/") or name in BLOCK:
-                stack.append(node)
-
-    def _open(self, stack: list[int], wanted: set[str], scope: set[str]) -> int:
-        """The place in the stack of the innermost wanted element, 0 if there is none inside the scope."""
-        for depth in range(len(stack) - 1, max(0, len(stack) - 400), -1):
-            tag = self.tags[stack[depth]]
-            if tag in wanted:
-                return depth
-            if tag in scope:
-                return 0
-        return 0
+                stack.push(node, name)
 
 
 def joined_text(pieces: list[tuple[int, int, str]], chosen) -> str:

@@ -434,6 +434,21 @@ def test_html_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+def test_end_tags_find_their_elements_below_many_open_ones():
+    page = html_extract.Page("<article><p>" + "<span>" * 1000 + "story</p><p>more</article><footer>foot</footer>")
+    chain = {}
+    for node, _, text in page.pieces:
+        chain[text] = []
+        while node > 0:
+            chain[text].append(page.tags[node])
+            node = page.parents[node]
+    assert chain["story"] == ["span"] * 1000 + ["p", "article"]
+    assert chain["more"] == ["p", "article"] and chain["foot"] == ["footer"]
+    table = html_extract.Page("<div><table><tr><td>" + "<b>" * 1000 + "a</div><td>b</table>c")
+    where = {text: table.tags[node] for node, _, text in table.pieces}
+    assert where == {"a": "b", "b": "td", "c": "div"}
+
+
 def test_html_extraction_on_held_out_pages():
     model, rng = html_extract.train(), random.Random(1234)
     good = total = 0
