@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from hopquarry.llm import jaccard_join, packing, substring_dedup, toxicity
 from hopquarry.llm.support import stored, table
+from hopquarry.llm.words import likely_members, row_handle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -25,10 +26,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays (all rows of that id)."""
-    groups = jaccard_join.similar_documents(docs)
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies one row stays: of the least id (null ids come last), then of the least handle.
+
+    Groups are of rows, not of ids.  Of repeated rows the least by all columns stays.
+    """
+    rows = stored(jaccard_join.grouped_documents(docs).where("root is not null").select("doc_id", "handle", "root"), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "handle"))["handle"].alias("first")
+    groups = stored(rows.groupBy("root").agg(first, F.count("*").alias("n")).where("n > 1").drop("n"), "firsts")
+    several = rows.join(groups, "root").groupBy("handle").agg(F.first(F.col("handle") == F.col("first")).alias("stays"), F.count("*").alias("n"))
+    several = stored(several.where("n > 1 or not stays").select("handle", "stays"), "several")
+    keyed = docs.withColumn("handle", row_handle("doc_id", "text"))
+    kept = keyed.join(several.select("handle"), "handle", "left_anti").select(*docs.columns)
+    again = several.where("stays").select("handle")
+    repeated = likely_members(keyed, again, "handle", again.count()).join(again, "handle", "left_semi")
+    one = repeated.groupBy("handle").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.unionByName(one)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

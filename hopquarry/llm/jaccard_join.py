@@ -373,8 +373,8 @@ def across_components(members: DataFrame, roots: DataFrame, done: DataFrame) ->
     return pairs.where(7 * at_most >= 3 * (F.col("small") + F.col("large"))).select("a", "b").join(done, ["a", "b"], "left_anti")
 
 
-def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row."""
+def grouped_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, handle, n_shingles, root, component_id`` for each row; the root is its component's own key, null without shingles."""
     spark = documents.sparkSession
     ship_code(spark)
     keyed = keyed_documents(documents, id_col, text_col)
@@ -398,9 +398,14 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     least = classes.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, least["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(component, "root").select("key", "component_id")
+    named = rooted.join(component, "root").select("key", "root", "component_id")
     return (
-        classes.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"))
+        classes.select("doc_id", "handle", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("key")).alias("key"))
         .join(named, "key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "handle", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
     )
+
+
+def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row."""
+    return grouped_documents(documents, id_col, text_col).select("doc_id", "n_shingles", "component_id")

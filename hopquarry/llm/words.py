@@ -165,12 +165,17 @@ def part_count(documents: DataFrame, text_col: str, bytes_per_part: int, least:
     return max(least, -(-total // bytes_per_part))
 
 
+def row_handle(id_col: str, text_col: str) -> Column:
+    """Tells rows of one id but other text apart."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def keyed_documents(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``handle`` and the text in UTF-8; the handle tells rows of one id but other text apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return documents.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.xxhash64(F.col(id_col).cast("long"), text).alias("handle"),
+        row_handle(id_col, text_col).alias("handle"),
         F.encode(text, "UTF-8").alias("text"),
     )
 

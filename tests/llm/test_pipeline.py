@@ -33,3 +33,16 @@ def test_stages(spark, tmp_path):
     assert all(cut[r.doc_id].text == r.text for r in single.collect() if r.doc_id != 403)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(cut) and max(r.offset + r.length for r in out) <= 2048
+
+
+def test_near_copies_go_by_rows(spark):
+    """An id of two texts, repeated rows of the least id, rows without an id."""
+    rng = random.Random(10)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, a), (None, a), (2, b), (5, c), (5, d), (7, c), (7, d), (None, "no id has these words but null")]
+    rows += [(None, rows[-1][1]), (8, ""), (8, ""), (9, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["ngram_jaccard"](spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(1, a), (2, b), (5, c), (5, d), rows[9], (8, ""), (8, ""), (9, None), (None, None)]
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, want))
