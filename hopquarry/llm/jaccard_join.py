@@ -8,20 +8,26 @@ Every class sends out the postings of its prefix: its rarest shingles, as many
 as any similar set must share one of.  Rare comes first by a table of the
 frequent shingles, counted over all documents (bounded; any fixed order gives
 the same links, so the bound costs time at most).  Classes that meet at a
-shingle become a candidate pair if lengths, prefixes and positions allow the
-needed overlap; the pair is verified once, on the whole sets, after their
-bitmaps (a suffix filter over all shingles) have left the overlap possible.
+shingle become a candidate pair if lengths and places allow that shingle to be
+the first that they share: a similar pair passes at its first shared shingle,
+so nothing is lost, and members of a bucket that no other can pass with leave it
+at once.  Each pair is verified once, on the whole sets, after a suffix filter.
 
 Buckets of more than ``SMALL`` classes do not emit all their pairs.  There each
-class is first paired with a few leaders only.  Then components show which
-buckets still hold classes of several components; only pairs *across*
-components that no filter excludes are left, and these are verified too.  So no
-link between two different sets is lost that could join components, and a
-bucket of near copies costs a number of pairs in proportion to its size.
+class is first paired with a few leaders only; shingles of very many documents
+are salted, each share of a bucket has leaders of its own, and these meet too.
+Then components show which buckets still hold classes of several components.
+Only pairs *across* components are left there; they are compared in chunks by
+blocks, on signatures of the whole sets, and what passes is verified.  So no
+link between two different sets is lost that could join components, and a bucket
+of near copies emits pairs in proportion to its size.  (The comparisons of
+signatures, not the rows, grow with the product of what is inside and outside
+a bucket's largest component.)
 
 Defined results: null and empty texts have no shingles and are linked with
 nothing; with fewer than ``SHINGLE`` words the whole sequence is the one
-shingle; repeated rows get the result of their set each; repeated ids of other
+shingle; texts of any length are used whole; links at exactly the threshold
+count; repeated rows get the result of their set each; repeated ids of other
 texts are nodes of their own; a null id is never the least, so it is the result
 only where a component has no other; extra columns are dropped; an empty table gives
 an empty table.
@@ -34,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
@@ -44,12 +50,12 @@ from .words import (
     POSTINGS,
     Flat,
     batches_of_texts,
-    hash_words,
     keyed_documents,
     likely_members,
     lower_ascii,
     pack_postings,
     part_count,
+    part_of,
     unpack_postings,
 )
 
@@ -62,9 +68,13 @@ FREQUENT = 65_536
 REPORT = 4
 #: Buckets of more classes are first joined through leaders.
 SMALL = 8
+#: A shingle of more documents is dealt to several parts, of about so many each.
+SALTED = 1024
 BYTES_PER_PART = 32 << 20
-#: Bits of a class's bitmap for each shingle, at least.
-BITS_PER_SHINGLE = 8
+#: Bits of a signature for each shingle, at least, and in all, at most.
+BITS_PER_SHINGLE, SIGNATURE_BITS = 8, 1 << 15
+#: Members and outsiders of a mixed bucket that are compared in one task.
+CHUNK, BLOCK = 2048, 1024
 
 DOC = np.dtype([("key", "<i8"), ("size", "<i4")])
 
@@ -106,19 +116,15 @@ class Sets:
         digests = [xxhash.xxh3_64_intdigest(self.of(k).tobytes()) if n else 0 for k, n in enumerate(self.sizes.tolist())]
         return np.array(digests, np.uint64).astype(np.int64)
 
-
-    def bitmap(self, k: int) -> bytes:
-        """A bit for each shingle, by its low bits; eight bits or more per shingle, in a power of two."""
-        n = int(self.sizes[k])
-        if not n:
-            return b""
-        bits = 1 << (BITS_PER_SHINGLE * n - 1).bit_length()
+    def signature(self, k: int) -> bytes:
+        """A bit for each shingle, by its low bits; a power of two of bits."""
+        bits = min(SIGNATURE_BITS, 1 << (BITS_PER_SHINGLE * max(1, int(self.sizes[k])) - 1).bit_length())
         marks = np.zeros(bits, bool)
         marks[self.of(k) & np.uint64(bits - 1)] = True
         return np.packbits(marks, bitorder="little").tobytes()
 
 
-CLASSES = "doc_id long, handle long, n_shingles long, key long, frequent binary, bitmap binary"
+CLASSES = "doc_id long, handle long, n_shingles long, key long, frequent binary"
 
 
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +135,8 @@ def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         many = counts >= REPORT
         report = shingles[many].tobytes() + counts[many].astype("<u8").tobytes()
         frequent = [report if k == 0 and report else None for k in range(len(texts))]
-        columns = [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64()), pa.array(frequent, pa.binary()), pa.array([sets.bitmap(k) for k in range(len(texts))], pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "handle", "n_shingles", "key", "frequent", "bitmap"])
+        columns = [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64()), pa.array(frequent, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "handle", "n_shingles", "key", "frequent"])
 
 
 def report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +160,23 @@ def prefix_size(size: np.ndarray) -> np.ndarray:
     return size - (3 * size + 3) // 4 + 1
 
 
-def short_prefix_size(size: np.ndarray) -> np.ndarray:
-    """The same, if the other set is at least as large."""
-    return size - (6 * size + 6) // 7 + 1
+def scattered(x) -> np.ndarray:
+    """Bits of whole numbers spread over the word."""
+    with np.errstate(over="ignore"):
+        mixed = np.asarray(x).astype(np.uint64) * np.uint64(MULTIPLIER)
+        return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
 
+def posting_map(table, parts: int, salted: int = SALTED):
+    """Postings of the prefixes, one class of a batch once.
 
-def posting_map(table, parts: int):
-    """Postings of the prefixes, one class of a batch once."""
+    Parts from ``parts`` on hold shares of the hot shingles' buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = table.value
+        very = counts > salted
+        hot, salts = shingles[very], (-(-counts[very] // salted)).astype(np.uint64)
         quick = np.zeros(1 << 20, bool)
         quick[(shingles >> np.uint64(44)).astype(np.int64)] = True
         for _, texts in batches_of_texts(batches, 2):
@@ -196,79 +209,108 @@ def posting_map(table, parts: int):
             hashes, place, doc = np.concatenate(hashes), np.concatenate(place), np.concatenate(doc)
             docs = np.zeros(len(texts), DOC)
             docs["key"], docs["size"] = keys, sets.sizes
-            yield pack_postings(hashes, np.zeros((len(hashes), 0), "u1"), place, doc, docs, parts)
+            part = part_of(hashes, parts)
+            for at in np.flatnonzero(np.isin(hashes, hot)).tolist():
+                shares = salts[np.searchsorted(hot, hashes[at])]
+                share = scattered(keys[doc[at]]) % shares
+                part[at] = parts + part_of(scattered(hashes[at] + share), parts)
+            yield pack_postings(hashes, np.zeros((len(hashes), 0), "u1"), place, doc, docs, parts, part)
 
     return run
 
 
-def possible(small, large, place_small, place_large):
-    """Length, prefix and position filters for sets with ``small <= large`` that share a shingle at these places."""
-    needed = (3 * (small + large) + 6) // 7
-    at_most = np.minimum(place_small, place_large) + 1 + np.minimum(small - place_small, large - place_large) - 1
-    return (4 * small >= 3 * large) & (place_small < short_prefix_size(small)) & (at_most >= needed)
+def widest(size, place):
+    """The largest set that may have its first shared shingle with a set of this size at this place.
+
+    From there on, the overlap is ``size - place`` at most; it must be 3/7 of both sizes.
+    """
+    return (4 * size - 7 * place) // 3
 
 
 MEETINGS = "kind byte, shingle long, a long, b long, size int, place int"
 MEETING_KINDS = (pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+PAIR, MEMBER, LEADER = 0, 1, 2
+
+
+def meetings(parts: int):
+    """One part's postings to candidate pairs, members of large or salted buckets, and leaders of salted shares."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        salted = rows["part"][0].as_py() >= parts
+        hashes, _, places, docs = unpack_postings(rows, "u1", DOC)
+        order = np.lexsort((docs["key"], docs["size"], hashes))
+        h, key, size, place = hashes[order], docs["key"][order], docs["size"][order].astype(np.int64), places[order]
+        most = widest(size, place)
+        alive = np.ones(len(h), bool)
+        alive[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
+        if not salted and len(h):  # who can pass with nobody in the bucket goes
+            start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            count = np.diff(np.r_[start, len(h)])
+            alive &= (most >= np.repeat(size[start], count)) & (size <= np.repeat(np.maximum.reduceat(most, start), count))
+        h, key, size, place, most = h[alive], key[alive], size[alive], place[alive], most[alive]
+        start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+        count = np.diff(np.r_[start, len(h)])
+        left, right = [], []
+        for n in range(2, SMALL + 1):
+            own = start[count == n]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    left.append(own + i)
+                    right.append(own + j)
+        large = count > (0 if salted else SMALL)
+        members, chiefs = np.flatnonzero(np.repeat(large, count)), np.zeros(0, np.int64)
+        if len(members):
+            bucket = np.repeat(np.flatnonzero(large), count[large])
+            # the first leader is the one with the least of its own before this shingle: near copies
+            # differ from what they were made of by rare shingles, and that text itself has none
+            for ranking in (place / size, key, scattered(key)):
+                by = members[np.lexsort((key[members], ranking[members], bucket))]
+                first = by[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])]
+                lead = np.repeat(first, count[large])
+                left.append(lead[lead != members])
+                right.append(members[lead != members])
+                chiefs = first if salted and not len(chiefs) else chiefs
+        x = np.concatenate(left) if left else np.zeros(0, np.int64)
+        y = np.concatenate(right) if right else np.zeros(0, np.int64)
+        good = (size[x] <= most[y]) & (size[y] <= most[x])
+        x, y = x[good], y[good]
+        pairs = np.unique(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
+        out = []
+        for kind, at in ((MEMBER, members), (LEADER, chiefs)):
+            none = np.zeros(len(at), np.int64)
+            out.append((none + kind, h[at].view(np.int64), key[at], none, size[at], place[at]))
+        none = np.zeros(pairs.shape[1], np.int64)
+        out.append((none + PAIR, none, pairs[0], pairs[1], none, none))
+        names = [x.split()[0] for x in MEETINGS.split(", ")]
+        return pa.table([pa.array(np.concatenate(c), pa.int64()).cast(k) for c, k in zip(zip(*out, strict=True), MEETING_KINDS, strict=True)], names)
+
+    return run
 
 
-def meetings(rows: pa.Table) -> pa.Table:
-    """Candidate pairs (kind 0) and, of large buckets, the members (kind 1)."""
-    hashes, _, places, docs = unpack_postings(rows, "u1", DOC)
-    order = np.lexsort((docs["key"], docs["size"], hashes))
-    h, key, size, place = hashes[order], docs["key"][order], docs["size"][order].astype(np.int64), places[order]
-    fresh = np.ones(len(h), bool)
-    fresh[1:] = (h[1:] != h[:-1]) | (key[1:] != key[:-1])
-    h, key, size, place = h[fresh], key[fresh], size[fresh], place[fresh]
-    start = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    count = np.diff(np.r_[start, len(h)])
-    left, right = [], []
-    for n in range(2, SMALL + 1):
-        own = start[count == n]
-        for i in range(n):
-            for j in range(i + 1, n):
-                left.append(own + i)
-                right.append(own + j)
-    large = count > SMALL
-    members = np.flatnonzero(np.repeat(large, count))
-    if len(members):
-        bucket = np.repeat(np.flatnonzero(large), count[large])
-        with np.errstate(over="ignore"):
-            scrambled = key.view(np.uint64) * np.uint64(MULTIPLIER)
-        # the first leader is the one with the least of its own before this shingle: near copies
-        # differ from what they were made of by rare shingles, and that text itself has none
-        for ranking in (place / size, key, scrambled):
-            by = members[np.lexsort((key[members], ranking[members], bucket))]
-            lead = np.repeat(by[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])], count[large])
-            left.append(np.minimum(lead, members)[lead != members])  # by size: the smaller set is on the left
-            right.append(np.maximum(lead, members)[lead != members])
-    x = np.concatenate(left) if left else np.zeros(0, np.int64)
-    y = np.concatenate(right) if right else np.zeros(0, np.int64)
-    good = possible(size[x], size[y], place[x], place[y])
-    x, y = x[good], y[good]
-    pairs = np.unique(np.stack([np.minimum(key[x], key[y]), np.maximum(key[x], key[y])]), axis=1) if len(x) else np.zeros((2, 0), np.int64)
-    n, m = pairs.shape[1], len(members)
-    columns = [
-        np.r_[np.zeros(n, np.int8), np.ones(m, np.int8)],
-        np.r_[np.zeros(n, np.int64), h[members].view(np.int64)],
-        np.r_[pairs[0], key[members]],
-        np.r_[pairs[1], np.zeros(m, np.int64)],
-        np.r_[np.zeros(n, np.int32), size[members].astype(np.int32)],
-        np.r_[np.zeros(n, np.int32), place[members].astype(np.int32)],
-    ]
-    names = [x.split()[0] for x in MEETINGS.split(", ")]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, MEETING_KINDS, strict=True)], names)
+def leader_pairs(found: DataFrame) -> DataFrame:
+    """The leaders of a salted bucket's shares meet the first of them."""
+    leaders = found.where(F.col("kind") == LEADER).select("shingle", "a", "size", "place")
+    rank = F.struct(F.col("place") / F.col("size"), F.col("a"))
+    first = leaders.groupBy("shingle").agg(F.min_by(F.struct("a", "size", "place"), rank).alias("f"))
+    met = leaders.join(first, "shingle").where("a != f.a").where(passes(F.col("size"), F.col("place"), F.col("f.size"), F.col("f.place")))
+    return met.select(F.least("a", "f.a").alias("a"), F.greatest("a", "f.a").alias("b"))
+
+
+def passes(size: Column, place: Column, other_size: Column, other_place: Column) -> Column:
+    """Length and positional filter: the shingle at these places may be the first that the two sets share."""
+    needed = 3 * (size + other_size)
+    return (7 * (size - place) >= needed) & (7 * (other_size - other_place) >= needed)
 
 
 def packed_set(hashes: np.ndarray) -> bytes:
-    """Five bytes of each hash, ascending."""
-    values = np.sort(hashes >> np.uint64(24))
-    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (values >> np.uint64(32)).astype("u1").tobytes()
+    """Six bytes of each hash, ascending."""
+    values = np.sort(hashes >> np.uint64(16))
+    return (values & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + (values >> np.uint64(32)).astype("<u2").tobytes()
 
 
 def unpacked_set(data: bytes) -> np.ndarray:
-    n = len(data) // 5
-    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "u1", n, 4 * n).astype(np.uint64) << np.uint64(32)
+    n = len(data) // 6
+    return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,43 +320,20 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(packed, pa.binary())], ["key", "members"])
 
 
+#: Pivots of the suffix filter.
+PIVOTS = np.arange(1, 16, dtype=np.uint64) << np.uint64(44)
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     needed = -(-3 * (len(a) + len(b)) // 7)
-    if min(len(a), len(b)) < needed:
+    # suffix filter: between two pivots, no more is shared than the lesser of the two counts
+    parts_a, parts_b = (np.diff(np.searchsorted(s, PIVOTS), prepend=0, append=len(s)) for s in (a, b))
+    if np.minimum(parts_a, parts_b).sum() < needed:
         return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     return int((a[at] == b).sum()) >= needed
 
 
-def possible_overlap(a: bytes, n: int, b: bytes, m: int) -> bool:
-    """Whether the bitmaps of two sets of sizes ``n`` and ``m`` leave the needed overlap possible.
-
-    A bit that only one of them has stands for a shingle, at least, that only it has.
-    """
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    alone_x, alone_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
-    return 7 * min(n - alone_x, m - alone_y) >= 3 * (n + m)
-
-
-def bitmap_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b, n, m = (batch.column(k).to_pylist() for k in range(2, 6))
-        yield batch.select(["a", "b"]).filter(pa.array([possible_overlap(*p) for p in zip(a, n, b, m, strict=True)], pa.bool_()))
-
-
-def suffix_filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose sets' bitmaps leave the needed overlap possible: a suffix filter over all shingles; stored."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    maps = stored(classes.join(wanted, "key", "left_semi").select("key", "bitmap", F.col("n_shingles").alias("n")).dropDuplicates(["key"]), "bitmaps")
-    with_b = pairs.join(maps.toDF("b", "map_b", "m"), "b")
-    with_both = with_b.join(maps.toDF("a", "map_a", "n"), "a").select("a", "b", "map_a", "map_b", "n", "m")
-    return stored(with_both.mapInArrow(bitmap_rows, "a long, b long"), "filtered")
-
-
 def verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = [linked(unpacked_set(x.as_py()), unpacked_set(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
@@ -328,52 +347,115 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return with_both.select("a", "b", "set_a", "set_b").mapInArrow(verify_rows, "a long, b long, linked boolean")
 
 
-def sets_of(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """The packed sets of all classes in ``pairs``, from one document each; stored."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    chosen = classes.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("handle").alias("handle"))
+def chosen_documents(keys: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``doc_id, handle, text`` of one document for each class among ``keys`` (and of rows that repeat it)."""
+    chosen = classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("handle").alias("handle"))
     chosen = stored(chosen.select("handle").distinct(), "chosen")
     texts = likely_members(keyed, chosen, "handle", chosen.count()).join(chosen, "handle", "left_semi")
-    sets = texts.select("doc_id", "handle", "text").mapInArrow(set_rows, "key long, members binary")
-    return stored(sets.dropDuplicates(["key"]), "sets")
+    return texts.select("doc_id", "handle", "text")
+
 
+def linked_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the stored ``pairs`` that are linked, by the whole sets, each shipped from one document; stored."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = chosen_documents(wanted, keyed, classes).mapInArrow(set_rows, "key long, members binary")
+    sets = stored(sets.dropDuplicates(["key"]), "sets")
+    return stored(verified(pairs, sets).where("linked").select("a", "b"), "linked")
 
-def across_components(members: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
-    """Pairs in large buckets whose classes are in different components, as far as the filters allow.
+
+def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in batches_of_texts(batches, 2):
+        sets = Sets(texts)
+        signatures = [sets.signature(k) for k in range(len(texts))]
+        yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(signatures, pa.binary())], ["key", "signature"])
+
+
+class Signatures:
+    """Signatures of several sets, those of one width together."""
+
+    def __init__(self, packed: list[bytes]):
+        widths = np.array([len(p) for p in packed])
+        self.groups = []
+        for width in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == width)
+            self.groups.append((rows, np.frombuffer(b"".join(packed[r] for r in rows.tolist()), np.uint8).reshape(len(rows), width)))
+
+    def alone(self, one: bytes, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The wanted rows, and at least how many shingles the one set has that each lacks, and the other way."""
+        own = np.frombuffer(one, np.uint8)
+        at, here, there = [], [], []
+        for rows, table in self.groups:
+            chosen = np.flatnonzero(wanted[rows])
+            if not len(chosen):
+                continue
+            other, mine = table[chosen], own
+            while other.shape[1] > len(mine):
+                other = other[:, : other.shape[1] // 2] | other[:, other.shape[1] // 2 :]
+            while len(mine) > other.shape[1]:
+                mine = mine[: len(mine) // 2] | mine[len(mine) // 2 :]
+            at.append(rows[chosen])
+            here.append(np.bitwise_count(mine & ~other).sum(axis=1, dtype=np.int64))
+            there.append(np.bitwise_count(other & ~mine).sum(axis=1, dtype=np.int64))
+        empty = np.zeros(0, np.int64)
+        return tuple(np.concatenate(c) if c else empty for c in (at, here, there))
+
+
+def outside_pairs(members: pa.Table, outsiders: pa.Table) -> pa.Table:
+    """Pairs of an outsider and a member of another component that places and signatures leave possible."""
+    y, x = members.to_pandas(), outsiders.to_pandas()
+    found = [np.zeros((0, 2), np.int64)]
+    if len(y) and len(x):
+        key, root, size = y["a"].to_numpy(), y["root"].to_numpy(), y["size"].to_numpy().astype(np.int64)
+        most, main = widest(size, y["place"].to_numpy().astype(np.int64)), y["main"].iloc[0]
+        table = Signatures([bytes(s) for s in y["signature"]])
+        for row in x.itertuples(index=False):
+            wanted = (root != row.x_root) & (size <= widest(row.x_size, row.x_place)) & (row.x_size <= most)
+            wanted &= (root == main) | (key > row.x_a)
+            at, here, there = table.alone(bytes(row.x_signature), wanted)
+            good = at[7 * np.minimum(row.x_size - here, size[at] - there) >= 3 * (row.x_size + size[at])]
+            found.append(np.sort(np.stack([np.full(len(good), row.x_a), key[good]], 1), axis=1))
+    pairs = np.concatenate(found)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def across_components(members: DataFrame, roots: DataFrame, done: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Pairs in large buckets whose classes are in different components, as far as the filters allow; stored.
 
     In a bucket, the classes outside its most frequent component meet the others.
     """
     placed = members.join(roots, members["a"] == roots["node"], "left").select("shingle", "a", "size", "place", F.coalesce("root", "a").alias("root"))
+    most = F.floor((4 * F.col("size") - 7 * F.col("place")) / 3)
+    placed = stored(placed.withColumn("most", most), "placed")
+    # who can pass with nobody in the whole bucket goes
+    reach = placed.groupBy("shingle").agg(F.min("size").alias("least_size"), F.max("most").alias("most_most"))
+    placed = placed.join(reach, "shingle").where("most >= least_size and size <= most_most")
     sizes = placed.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("shingle").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("roots")).where("roots > 1")
-    placed = stored(placed.join(mixed.select("shingle", "main"), "shingle"), "mixed")
-    x, y = placed.where("root != main").alias("x"), placed.alias("y")
-    small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
-    x_first = (F.col("x.size") < F.col("y.size")) | ((F.col("x.size") == F.col("y.size")) & (F.col("x.a") < F.col("y.a")))
-    place_small = F.when(x_first, F.col("x.place")).otherwise(F.col("y.place"))
-    place_large = F.when(x_first, F.col("y.place")).otherwise(F.col("x.place"))
-    meets = x.join(
-        y,
-        (F.col("x.shingle") == F.col("y.shingle"))
-        & (F.col("x.root") != F.col("y.root"))
-        & ((F.col("y.root") == F.col("y.main")) | (F.col("x.a") < F.col("y.a")))
-        & (4 * small >= 3 * large)
-        & (place_small < small - F.floor((6 * small + 6) / 7) + 1),
-    ).select(
-        F.least("x.a", "y.a").alias("a"), F.greatest("x.a", "y.a").alias("b"),
-        small.alias("small"), large.alias("large"), place_small.alias("place_small"), place_large.alias("place_large"), "x.shingle",
+    mixed = sizes.groupBy("shingle").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    dealt = mixed.select(
+        "shingle", F.col("m.root").alias("main"),
+        F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"),
+    )
+    placed = stored(placed.select("shingle", "a", "size", "place", "root").join(dealt, "shingle"), "mixed")
+    wanted = stored(placed.select(F.col("a").alias("key")).distinct(), "wanted")
+    n = wanted.count()
+    if not n:
+        return None
+    signatures = stored(chosen_documents(wanted, keyed, classes).mapInArrow(signature_rows, "key long, signature binary").dropDuplicates(["key"]), "signatures")
+    placed = placed.join(signatures, placed["a"] == signatures["key"]).drop("key")
+    inside = placed.select(
+        "shingle", F.pmod("a", "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        "a", "size", "place", "root", "main", "signature",
     )
-    # A pair that shares a small bucket is done already, so these are all the shingles that the two prefixes share.
-    # Up to the last of them the overlap is their number; after it, at most what is left of the shorter rest.
-    pairs = meets.groupBy("a", "b").agg(
-        F.countDistinct("shingle").alias("shared"), F.max("place_small").alias("last_small"), F.max("place_large").alias("last_large"),
-        F.first("small").alias("small"), F.first("large").alias("large"),
+    outside = placed.where("root != main").select(
+        F.col("shingle").alias("x_shingle"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("x_chunk"),
+        F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("x_block"), *[F.col(c).alias(f"x_{c}") for c in ("a", "size", "place", "root", "signature")],
     )
-    at_most = F.col("shared") + F.least(F.col("small") - F.col("last_small"), F.col("large") - F.col("last_large")) - 1
-    return pairs.where(7 * at_most >= 3 * (F.col("small") + F.col("large"))).select("a", "b").join(done, ["a", "b"], "left_anti")
+    met = inside.groupBy("shingle", "chunk", "block").cogroup(outside.groupBy("x_shingle", "x_chunk", "x_block"))
+    pairs = met.applyInArrow(outside_pairs, "a long, b long").distinct()
+    return stored(pairs.join(done, ["a", "b"], "left_anti"), "left")
 
 
-def grouped_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", salted: int = SALTED) -> DataFrame:
     """``doc_id, handle, n_shingles, root, component_id`` for each row; the root is its component's own key, null without shingles."""
     spark = documents.sparkSession
     ship_code(spark)
@@ -381,16 +463,15 @@ def grouped_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     classes = stored(keyed.mapInArrow(class_rows, CLASSES), "classes")
     table = spark.sparkContext.broadcast(frequent_table(classes))
     parts = part_count(documents, text_col, BYTES_PER_PART)
-    found = stored(keyed.mapInArrow(posting_map(table, parts), POSTINGS).groupBy("part").applyInArrow(meetings, MEETINGS), "meetings")
-    pairs = stored(found.where("kind = 0").select("a", "b").distinct(), "pairs")
-    known = classes.where("n_shingles > 0").select("key", "handle", "n_shingles", "bitmap")
-    likely = suffix_filtered(pairs, known)
-    checked = stored(verified(likely, sets_of(likely, keyed, known)), "checked")
-    roots = connected_components(checked.where("linked").select("a", "b"))
-    left = stored(across_components(found.where("kind = 1").select("shingle", "a", "size", "place"), roots, pairs), "left")
-    left = suffix_filtered(left, known) if not left.isEmpty() else left
-    if not left.isEmpty():
-        late = stored(verified(left, sets_of(left, keyed, known)), "checked").where("linked").select("a", "b")
+    found = stored(keyed.mapInArrow(posting_map(table, parts, salted), POSTINGS).groupBy("part").applyInArrow(meetings(parts), MEETINGS), "meetings")
+    pairs = stored(found.where(F.col("kind") == PAIR).select("a", "b").unionByName(leader_pairs(found)).distinct(), "pairs")
+    known = classes.where("n_shingles > 0").select("key", "handle")
+    links = linked_pairs(pairs, keyed, known)
+    roots = connected_components(links)
+    members = found.where(F.col("kind") == MEMBER).select("shingle", "a", "size", "place")
+    left = across_components(members, roots, pairs, keyed, known)
+    if left is not None and not left.isEmpty():
+        late = linked_pairs(left, keyed, known)
         roots = connected_components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     table.unpersist()
 

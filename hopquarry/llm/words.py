@@ -125,19 +125,25 @@ POSTING_KINDS = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(),
 POSTING_NAMES = [x.split()[0] for x in POSTINGS.split(", ")]
 
 
-def pack_postings(hashes: np.ndarray, more: np.ndarray, places: np.ndarray, doc: np.ndarray, docs: np.ndarray, parts: int) -> pa.RecordBatch:
-    """Rows of ``POSTINGS``: entries dealt by hash; ``doc`` must ascend.
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the hash space, by the high bits; the low bits do not depend on them."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+
+
+def pack_postings(
+    hashes: np.ndarray, more: np.ndarray, places: np.ndarray, doc: np.ndarray, docs: np.ndarray, parts: int, part: np.ndarray | None = None
+) -> pa.RecordBatch:
+    """Rows of ``POSTINGS``: entries dealt by hash, or as ``part`` says; ``doc`` must ascend.
 
     ``more`` are further bits of the hashes, ``docs`` a structured array with a
     row for each document.
     """
-    # the high bits choose the part; the hashes' low bits do not depend on them
-    part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+    part = part_of(hashes, parts) if part is None else part
     order = np.argsort(part, kind="stable")
-    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    present, cuts = np.unique(part[order], return_index=True)
     rows: list[tuple] = []
-    for p in np.flatnonzero(np.diff(cuts)):
-        own = order[cuts[p] : cuts[p + 1]]
+    for p, begin, end in zip(present.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True):
+        own = order[begin:end]
         present, counts = np.unique(doc[own], return_counts=True)
         place = places[own]
         place = place.astype("<u2") if not len(place) or place.max() < 1 << 16 else place.astype("<u4")

@@ -245,6 +245,34 @@ def test_jaccard_join_of_chains_in_large_buckets(spark):
     assert got == brute_jaccard(rows)
 
 
+@pytest.mark.parametrize("salted", [jaccard_join.SALTED, 24])
+def test_jaccard_join_of_near_copies_that_differ_from_all_leaders(spark, salted):
+    """300 near copies of a text that is not there: most are not similar to one another, some are through shared changes."""
+    rng = random.Random(21)
+    base, rows = [f"v{k}" for k in range(150)], []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.choice([2, 3, 4, 5, 6])):
+            at = rng.randrange(150)
+            words[at] = f"x{at}" if i % 3 else f"y{rng.random()}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard_join.grouped_documents(docs, salted=salted).collect()
+    want = brute_jaccard(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+    assert 20 < len({c for _, c in want.values()}) < 250
+
+
+def test_suffix_filter_and_verification_at_the_threshold():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 40, 700):
+        a = np.unique(rng.integers(0, 1 << 48, size).astype(np.uint64))
+        for shared in range(len(a) + 1):
+            b = np.unique(np.r_[a[:shared], rng.integers(0, 1 << 48, len(a) - shared).astype(np.uint64)])
+            both = len(np.intersect1d(a, b))
+            assert jaccard_join.linked(a, b) == (100 * both >= 75 * (len(a) + len(b) - both))
+
+
 def test_jaccard_join_of_null_ids(spark):
     """A null id is never the least one, within a set's copies or in a component of several sets."""
     rng = random.Random(12)
