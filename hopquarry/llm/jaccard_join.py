@@ -63,16 +63,16 @@ SHINGLE = 5
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: Links have ``7 * overlap >= 3 * (sum of sizes)``: a Jaccard index of 0.75.
 #: Entries of the table of frequent shingles.
-FREQUENT = 65_536
-#: A shingle is reported as frequent by a batch if so many of its documents have it.
-REPORT = 4
+FREQUENT = 262_144
+#: Shingles are counted in runs of about so many; those that several documents of a run have are reported.
+COUNTED = 4_000_000
 #: Buckets of more classes are first joined through leaders.
 SMALL = 8
 #: A shingle of more documents is dealt to several parts, of about so many each.
 SALTED = 1024
 BYTES_PER_PART = 32 << 20
-#: Bits of a signature for each shingle, at least, and in all, at most.
-BITS_PER_SHINGLE, SIGNATURE_BITS = 8, 1 << 15
+#: Bits of a signature for each shingle, at least: for single pairs, and in mixed buckets; bits in all, at most.
+COARSE, FINE, SIGNATURE_BITS = 4, 8, 1 << 15
 #: Members and outsiders of a mixed bucket that are compared in one task.
 CHUNK, BLOCK = 2048, 1024
 
@@ -116,27 +116,36 @@ class Sets:
         digests = [xxhash.xxh3_64_intdigest(self.of(k).tobytes()) if n else 0 for k, n in enumerate(self.sizes.tolist())]
         return np.array(digests, np.uint64).astype(np.int64)
 
-    def signature(self, k: int) -> bytes:
-        """A bit for each shingle, by its low bits; a power of two of bits."""
-        bits = min(SIGNATURE_BITS, 1 << (BITS_PER_SHINGLE * max(1, int(self.sizes[k])) - 1).bit_length())
-        marks = np.zeros(bits, bool)
-        marks[self.of(k) & np.uint64(bits - 1)] = True
-        return np.packbits(marks, bitorder="little").tobytes()
-
 
 CLASSES = "doc_id long, handle long, n_shingles long, key long, frequent binary"
 
 
+def repeated_shingles(runs: list[np.ndarray]) -> bytes | None:
+    """Shingles that stand there several times, then their counts."""
+    shingles, counts = np.unique(np.concatenate(runs), return_counts=True)
+    many = counts > 1
+    return shingles[many].tobytes() + counts[many].astype("<u8").tobytes() if many.any() else None
+
+
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document with its set's size and key; the first of a batch also reports shingles that several documents have."""
+    """A row per document with its set's size and key; the first row of the last batch of a run reports its repeated shingles."""
+    names = [x.split()[0] for x in CLASSES.split(", ")]
+    run, held, waiting = [], 0, None
+
+    def rows(columns: list, report: bytes | None) -> pa.RecordBatch:
+        reports = pa.array([report, *[None] * (len(columns[0]) - 1)], pa.binary())
+        return pa.RecordBatch.from_arrays([*columns, reports], names)
+
     for batch, texts in batches_of_texts(batches, 2):
+        if waiting is not None:
+            yield rows(waiting, repeated_shingles(run) if held >= COUNTED else None)
+            run, held = ([], 0) if held >= COUNTED else (run, held)
         sets = Sets(texts)
-        shingles, counts = np.unique(sets.hashes, return_counts=True)
-        many = counts >= REPORT
-        report = shingles[many].tobytes() + counts[many].astype("<u8").tobytes()
-        frequent = [report if k == 0 and report else None for k in range(len(texts))]
-        columns = [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64()), pa.array(frequent, pa.binary())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "handle", "n_shingles", "key", "frequent"])
+        run.append(sets.hashes)
+        held += len(sets.hashes)
+        waiting = [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64())]
+    if waiting is not None:
+        yield rows(waiting, repeated_shingles(run))
 
 
 def report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,10 +158,10 @@ def report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_table(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, ascending, and their counts: ``FREQUENT`` rows at most."""
     counts = classes.where("frequent is not null").select("frequent").mapInArrow(report_rows, "shingle long, n long")
-    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).collect()
-    shingles = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    rows = counts.groupBy("shingle").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    shingles = rows["shingle"].to_numpy().view(np.uint64)
     order = np.argsort(shingles)
-    return shingles[order], np.array([r[1] for r in rows], np.int64)[order]
+    return shingles[order], rows["n"].to_numpy()[order]
 
 
 def prefix_size(size: np.ndarray) -> np.ndarray:
@@ -337,62 +346,101 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         good = [linked(unpacked_set(x.as_py()), unpacked_set(y.as_py())) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "linked"])
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def for_both(pairs: DataFrame, of_key: DataFrame) -> DataFrame:
+    """``a, b, of_a, of_b``: the second column of ``of_key`` (key first) for both sides of each pair."""
+    key, value = of_key.columns
+    with_b = pairs.join(of_key.select(F.col(key).alias("b"), F.col(value).alias("of_b")), "b")
+    return with_b.join(of_key.select(F.col(key).alias("a"), F.col(value).alias("of_a")), "a").select("a", "b", "of_a", "of_b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, linked`` of each pair, by the whole sets."""
-    with_b = pairs.join(sets.select(F.col("key").alias("b"), F.col("members").alias("set_b")), "b")
-    with_both = with_b.join(sets.select(F.col("key").alias("a"), F.col("members").alias("set_a")), "a")
-    return with_both.select("a", "b", "set_a", "set_b").mapInArrow(verify_rows, "a long, b long, linked boolean")
+    """The pairs that are linked, by the whole sets; stored."""
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+    narrowed = likely_members(sets, wanted, "key", wanted.count())
+    return stored(for_both(pairs, narrowed).mapInArrow(verify_rows, "a long, b long").distinct(), "linked")
 
 
-def chosen_documents(keys: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``doc_id, handle, text`` of one document for each class among ``keys`` (and of rows that repeat it)."""
-    chosen = classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("handle").alias("handle"))
-    chosen = stored(chosen.select("handle").distinct(), "chosen")
-    texts = likely_members(keyed, chosen, "handle", chosen.count()).join(chosen, "handle", "left_semi")
-    return texts.select("doc_id", "handle", "text")
+def sets_of(keys: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``key, members`` for each class among ``keys``, from one of its documents; stored.
 
+    Texts are not shuffled: a bitmap picks the documents, and so a few more, whose rows no pair asks for.
+    """
+    chosen = stored(classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("handle").alias("handle")), "chosen")
+    texts = likely_members(keyed, chosen, "handle", chosen.count()).select("doc_id", "handle", "text")
+    return stored(texts.mapInArrow(set_rows, "key long, members binary"), "sets")
 
-def linked_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of the stored ``pairs`` that are linked, by the whole sets, each shipped from one document; stored."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = chosen_documents(wanted, keyed, classes).mapInArrow(set_rows, "key long, members binary")
-    sets = stored(sets.dropDuplicates(["key"]), "sets")
-    return stored(verified(pairs, sets).where("linked").select("a", "b"), "linked")
 
+def signature(members: np.ndarray, per_shingle: int) -> bytes:
+    """A bit for each shingle, by its low bits; a power of two of bits, after the size in eight bytes."""
+    bits = min(SIGNATURE_BITS, 1 << (per_shingle * max(1, len(members)) - 1).bit_length())
+    marks = np.zeros(bits, bool)
+    marks[members & np.uint64(bits - 1)] = True
+    return len(members).to_bytes(8, "little") + np.packbits(marks, bitorder="little").tobytes()
 
-def signature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in batches_of_texts(batches, 2):
-        sets = Sets(texts)
-        signatures = [sets.signature(k) for k in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(signatures, pa.binary())], ["key", "signature"])
+
+def signature_rows(per_shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signatures = [signature(unpacked_set(m.as_py()), per_shingle) for m in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, pa.binary())], ["key", "signature"])
+
+    return run
+
+
+def halved(table: np.ndarray, width: int) -> np.ndarray:
+    """Signatures (the last axis) folded to ``width`` bytes."""
+    while table.shape[-1] > width:
+        half = table.shape[-1] // 2
+        table = table[..., :half] | table[..., half:]
+    return table
+
+
+def possible_overlap(a: bytes, b: bytes) -> bool:
+    """Whether two signatures leave the needed overlap possible: a bit that only one has stands for a shingle, at least, that only it has."""
+    n, m = int.from_bytes(a[:8], "little"), int.from_bytes(b[:8], "little")
+    x, y = np.frombuffer(a, np.uint8, offset=8), np.frombuffer(b, np.uint8, offset=8)
+    x, y = halved(x, len(y)), halved(y, len(x))
+    alone_x, alone_y = int(np.bitwise_count(x & ~y).sum()), int(np.bitwise_count(y & ~x).sum())
+    return 7 * min(n - alone_x, m - alone_y) >= 3 * (n + m)
+
+
+def possible_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        good = [possible_overlap(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+
+def linked_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the stored ``pairs`` that are linked; signatures are shipped first, and whole sets only for what they leave."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), keyed, classes)
+    signatures = sets.mapInArrow(signature_rows(COARSE), "key long, signature binary")
+    left = stored(for_both(pairs, signatures).mapInArrow(possible_rows, "a long, b long").distinct(), "possible")
+    return verified(left, sets)
 
 
 class Signatures:
     """Signatures of several sets, those of one width together."""
 
     def __init__(self, packed: list[bytes]):
-        widths = np.array([len(p) for p in packed])
+        widths = np.array([len(p) - 8 for p in packed])
         self.groups = []
         for width in np.unique(widths).tolist():
             rows = np.flatnonzero(widths == width)
-            self.groups.append((rows, np.frombuffer(b"".join(packed[r] for r in rows.tolist()), np.uint8).reshape(len(rows), width)))
+            self.groups.append((rows, np.frombuffer(b"".join(packed[r][8:] for r in rows.tolist()), np.uint8).reshape(len(rows), width)))
 
     def alone(self, one: bytes, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The wanted rows, and at least how many shingles the one set has that each lacks, and the other way."""
-        own = np.frombuffer(one, np.uint8)
+        own = np.frombuffer(one, np.uint8, offset=8)
         at, here, there = [], [], []
         for rows, table in self.groups:
             chosen = np.flatnonzero(wanted[rows])
             if not len(chosen):
                 continue
-            other, mine = table[chosen], own
-            while other.shape[1] > len(mine):
-                other = other[:, : other.shape[1] // 2] | other[:, other.shape[1] // 2 :]
-            while len(mine) > other.shape[1]:
-                mine = mine[: len(mine) // 2] | mine[len(mine) // 2 :]
+            other = halved(table[chosen], len(own))
+            mine = halved(own, other.shape[1])
             at.append(rows[chosen])
             here.append(np.bitwise_count(mine & ~other).sum(axis=1, dtype=np.int64))
             there.append(np.bitwise_count(other & ~mine).sum(axis=1, dtype=np.int64))
@@ -419,7 +467,7 @@ def outside_pairs(members: pa.Table, outsiders: pa.Table) -> pa.Table:
 
 
 def across_components(members: DataFrame, roots: DataFrame, done: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """Pairs in large buckets whose classes are in different components, as far as the filters allow; stored.
+    """Linked pairs in large buckets whose classes are in different components; stored.
 
     In a bucket, the classes outside its most frequent component meet the others.
     """
@@ -436,11 +484,11 @@ def across_components(members: DataFrame, roots: DataFrame, done: DataFrame, key
         F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), F.ceil((F.col("n") - F.col("m.n")) / BLOCK).cast("int").alias("blocks"),
     )
     placed = stored(placed.select("shingle", "a", "size", "place", "root").join(dealt, "shingle"), "mixed")
-    wanted = stored(placed.select(F.col("a").alias("key")).distinct(), "wanted")
-    n = wanted.count()
-    if not n:
+    wanted = placed.select(F.col("a").alias("key")).distinct()
+    if wanted.isEmpty():
         return None
-    signatures = stored(chosen_documents(wanted, keyed, classes).mapInArrow(signature_rows, "key long, signature binary").dropDuplicates(["key"]), "signatures")
+    sets = sets_of(wanted, keyed, classes)
+    signatures = stored(sets.mapInArrow(signature_rows(FINE), "key long, signature binary").dropDuplicates(["key"]), "signatures")
     placed = placed.join(signatures, placed["a"] == signatures["key"]).drop("key")
     inside = placed.select(
         "shingle", F.pmod("a", "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
@@ -452,7 +500,8 @@ def across_components(members: DataFrame, roots: DataFrame, done: DataFrame, key
     )
     met = inside.groupBy("shingle", "chunk", "block").cogroup(outside.groupBy("x_shingle", "x_chunk", "x_block"))
     pairs = met.applyInArrow(outside_pairs, "a long, b long").distinct()
-    return stored(pairs.join(done, ["a", "b"], "left_anti"), "left")
+    left = stored(pairs.join(done, ["a", "b"], "left_anti"), "left")
+    return None if left.isEmpty() else verified(left, sets)
 
 
 def grouped_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", salted: int = SALTED) -> DataFrame:
@@ -469,9 +518,8 @@ def grouped_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     links = linked_pairs(pairs, keyed, known)
     roots = connected_components(links)
     members = found.where(F.col("kind") == MEMBER).select("shingle", "a", "size", "place")
-    left = across_components(members, roots, pairs, keyed, known)
-    if left is not None and not left.isEmpty():
-        late = linked_pairs(left, keyed, known)
+    late = across_components(members, roots, pairs, keyed, known)
+    if late is not None:
         roots = connected_components(late.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     table.unpersist()
 
