@@ -65,7 +65,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 #: Entries of the table of frequent shingles.
 FREQUENT = 262_144
 #: Shingles are counted in runs of about so many; those that several documents of a run have are reported.
-COUNTED = 4_000_000
+COUNTED = 1_000_000
 #: Buckets of more classes are first joined through leaders.
 SMALL = 8
 #: A shingle of more documents is dealt to several parts, of about so many each.

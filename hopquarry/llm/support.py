@@ -19,6 +19,14 @@ from ..deploy import ship_code
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Settings while a frame is stored.  Small batches keep Python workers small.
+STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,11 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (a local test session) a temporary
-    folder takes its place.
+    Only a local session (a test) may name none: a temporary folder takes its place.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="hopquarry-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -78,10 +87,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     This cuts the lineage, and the files outlive any executor.  The shuffle
     files of the run are of no more use then, so Spark may drop them.
     """
-    path = scratch(df.sparkSession, label)
-    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    with contextlib.ExitStack() as held:
+        for key, value in STORING.items():
+            held.enter_context(setting(spark, key, value))
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parts(rows: int, per_part: int, least: int = 1) -> int:

@@ -8,10 +8,14 @@ windows of a text overlap by half and are all scored; a text's score is that of
 its most toxic window.
 
 Training (numpy, on the driver) sees at most ``TOXIC_ROWS`` and ``CLEAN_ROWS``
-labelled rows, by a hash of their ids.  Labels belong to texts, not windows, so
-each round takes the window of each text that the model finds most toxic so
-far.  The first component of the embeddings starts from how much more often
-toxic texts have the word or n-gram; all components are trained on.
+labelled rows and ``TRAINING_BYTES`` of text of each kind, whole texts in order of
+a hash of their ids.  All weights start at random; nothing is counted about words
+but how many texts have them, whatever their labels.  Labels belong to texts, not
+windows: at first any window of a text has its label, then, round by round, the
+window that the model finds most toxic so far stands for the text.  Batches hold
+as many toxic as clean windows, and a text has the score of its most toxic one; so
+texts put aside calibrate the scores, weighted by the share of toxic rows among
+all that are labelled, and scores mean the same at every size.
 
 Defined results: null and empty texts have one empty window and a score like any
 other; any length is scored whole; without labelled rows of both kinds every
@@ -27,32 +31,37 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
 
-#: Labelled rows to learn from, at most.
+#: Labelled rows to learn from, at most; of each kind, those whose texts stay within so many bytes in order of a hash.
 TOXIC_ROWS = 800
-CLEAN_ROWS = 1500
-#: Windows of a text to learn from, at most: those that look most toxic at the start.
-TEXT_WINDOWS = 16
+CLEAN_ROWS = 3000
+TRAINING_BYTES = 10 << 20
 WINDOW = 32
 STEP = 16
-HIDDEN = 8
+HIDDEN = 12
 WORD_BITS, GRAM_BITS = 17, 18
+#: Standard deviation of the embeddings at first.
+SPREAD = 0.01
 #: Components of a word's and of a character n-gram's embedding.
 PARTS = 4
-GRAMS = (3, 4, 5, 6)
-ROUNDS = 5
-#: Windows in a step, at most, and steps in all, at least.
+GRAMS = (4, 6, 8)
+#: Windows in a step; steps on any windows first, then rounds of steps on the most toxic ones.
 BATCH = 256
-STEPS = 160
+FIRST_STEPS, ROUNDS, ROUND_STEPS = 200, 2, 60
+RATE, TABLE_RATE = 0.03, 0.1
+#: Share of words that a step swaps.
+SWAPPED = 0.5
+#: Share of the texts that the calibration has for itself.
+ASIDE = 0.2
+#: Share of toxic texts, the least toxic looking ones, that are taken for mislabelled after the first steps.
+DOUBTED = 0.1
+#: Words and n-grams of fewer texts keep their first embeddings.
+LEAST_TEXTS = 12
 SEED = 7
-#: Standard deviations from chance at which a word or n-gram starts with a weight.
-CLEAR = 3.0
-#: Texts whose occurrences are counted at once.
-TEXT_BLOCK = 100
 #: Words that are worked on at once, at about this number.
 FLAT_WORDS = 150_000
 #: Bytes that separate words besides letters, digits and bytes above 127.
@@ -106,16 +115,11 @@ class Vocabulary:
         self.gram_slots, self.gram_words = slot[order].astype(np.int32), owner[order].astype(np.int32)
         self.with_grams, self.gram_starts = np.unique(self.gram_words, return_index=True)
 
-    def restricted(self, words: np.ndarray) -> Vocabulary:
-        """Only the given words (ascending), numbered anew; without the texts."""
-        out = Vocabulary.__new__(Vocabulary)
-        out.n, out.word_slots = len(words), self.word_slots[words]
-        number = np.full(self.n, -1)
-        number[words] = np.arange(len(words))
-        keep = number[self.gram_words] >= 0
-        out.gram_slots, out.gram_words = self.gram_slots[keep], number[self.gram_words[keep]]
-        out.with_grams, out.gram_starts = np.unique(out.gram_words, return_index=True)
-        return out
+    def text_words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each text's distinct words: the word and the text."""
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        pairs = np.unique(self.ids * len(self.sizes) + text)
+        return pairs // len(self.sizes), pairs % len(self.sizes)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word ids of all windows (-1 beyond a text's end), how many are in use, and the text of each."""
@@ -136,13 +140,16 @@ class Network:
 
     def __init__(self, rng: np.random.Generator):
         inputs, draw = 2 * PARTS, lambda *shape: (rng.standard_normal(shape) * 0.3).astype("f4")
-        self.word = (rng.standard_normal((1 << WORD_BITS, PARTS)) * 0.01).astype("f4")
-        self.gram = (rng.standard_normal((1 << GRAM_BITS, PARTS)) * 0.01).astype("f4")
+        self.word = (rng.standard_normal((1 << WORD_BITS, PARTS)) * SPREAD).astype("f4")
+        self.gram = (rng.standard_normal((1 << GRAM_BITS, PARTS)) * SPREAD).astype("f4")
         self.w = {}
         for way in "fb":
             self.w |= {f"W{way}": draw(inputs, 3 * HIDDEN), f"U{way}": draw(HIDDEN, 3 * HIDDEN), f"b{way}": np.zeros(3 * HIDDEN, "f4")}
         self.w |= {"attend": draw(2 * HIDDEN), "out": draw(2 * HIDDEN), "bias": np.zeros(1, "f4")}
 
+    def tables(self) -> dict[str, np.ndarray]:
+        return {"word": self.word, "gram": self.gram, **self.w}
+
     def embed(self, v: Vocabulary) -> np.ndarray:
         """A row per distinct word, and a last one of zeros for places without a word."""
         out = np.zeros((v.n + 1, 2 * PARTS), "f4")
@@ -220,134 +227,152 @@ class Network:
         return logits, ids, text, best
 
 
-class Odds:
-    """Per slot how far texts that have it are toxic more often than all are; 0 where few texts have it."""
-
-    def __init__(self, toxic: np.ndarray, size: int):
-        self.toxic, self.size = toxic, size
-        self.texts, self.bad = np.zeros(size), np.zeros(size)
-
-    def add(self, slots: np.ndarray, texts: np.ndarray) -> None:
-        """Occurrences in texts that no other call has."""
-        pairs = np.unique(slots * len(self.toxic) + texts)
-        slot, label = pairs // len(self.toxic), self.toxic[pairs % len(self.toxic)]
-        self.texts += np.bincount(slot, minlength=self.size)
-        self.bad += np.bincount(slot, weights=label, minlength=self.size)
-
-    def values(self) -> np.ndarray:
-        base, prior = self.toxic.mean(), 5.0
-        rate = (self.bad + prior * base) / (self.texts + prior)
-        # what a few texts have by chance would only tell those very texts apart
-        chance = np.sqrt(np.maximum(self.texts * base * (1 - base), 1e-9))
-        clear = np.abs(self.bad - self.texts * base) >= CLEAR * chance
-        return np.where(clear, np.log(rate / (1 - rate)) - np.log(base / (1 - base)), 0).astype("f4")
-
+def train(texts: list[str], labels: list[int], toxic_share: float | None = None) -> Network | float:
+    """The network, or the share of toxic texts where one kind is missing.
 
-def train(texts: list[str], labels: list[int]) -> Network | float:
-    """The network, or the share of toxic texts where one kind is missing."""
+    All windows of the texts are learnt from.  At first a window has its text's
+    label; then, round by round, the window of each text that looks most toxic
+    stands for it, and clean texts bring their other windows along.  Both kinds
+    make up half of each batch; texts put aside calibrate the scores at the end,
+    weighted by ``toxic_share`` (that of all labelled rows).
+    """
     toxic = np.array(labels, np.float64)
     if not len(toxic) or toxic.min() == toxic.max():
         return float(toxic.mean()) if len(toxic) else 0.0
     rng = np.random.default_rng(SEED)
-    net = Network(rng)
-    v = Vocabulary([words_of(t) for t in texts])
-    text_of = np.repeat(np.arange(len(texts)), v.sizes)
-    odds = [Odds(toxic, 1 << WORD_BITS), Odds(toxic, 1 << GRAM_BITS)]
-    starts = np.searchsorted(v.gram_words, np.arange(v.n + 1))
-    for block in range(0, len(texts), TEXT_BLOCK):
-        inside = slice(*np.searchsorted(text_of, (block, block + TEXT_BLOCK)))
-        distinct = np.unique(v.ids[inside] * len(texts) + text_of[inside])
-        word, text = distinct // len(texts), distinct % len(texts)
-        odds[0].add(v.word_slots[word], text)
-        counts = np.diff(starts)[word]
-        spread = np.repeat(starts[word] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        odds[1].add(v.gram_slots[spread], np.repeat(text, counts))
-    net.word[:, 0], net.gram[:, 0] = (o.values() / 2 for o in odds)
-    del distinct, word, text, counts, spread
-
-    x = net.embed(v)
+    net, v = Network(rng), Vocabulary([words_of(t) for t in texts])
     ids, _, text = v.windows()
-    first = (x[:, 0] + x[:, PARTS])[ids].max(axis=1)
-    order = np.lexsort((-first, text))
-    rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-    order = order[rank < TEXT_WINDOWS]
-    ids, text, first = ids[order], text[order], first[order]
-    used = np.unique(ids[ids >= 0])  # the words of these windows
-    v = v.restricted(used)
-    ids = np.where(ids >= 0, np.searchsorted(used, ids), -1)
-    x = net.embed(v)
-    best = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    moments = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in net.w.items()}
-    squares = {"word": np.full_like(net.word, 1e-2), "gram": np.full_like(net.gram, 1e-2)}
-    lift = np.sqrt((1 - toxic.mean()) / toxic.mean())
-    step = 0
-    for round_ in range(ROUNDS):
-        chosen, label = best, toxic
-        if round_:  # any window of clean texts may come up too
-            other = rng.integers(0, len(ids), len(texts) // 2)
-            other = other[toxic[text[other]] == 0]
-            chosen, label = np.r_[best, other], np.r_[toxic, np.zeros(len(other))]
-        size = min(BATCH, max(32, len(chosen) // 10))
-        for _ in range(max(2, -(-STEPS * size // (ROUNDS * len(chosen))))):
-            mixed = rng.permutation(len(chosen))
-            for k in range(0, len(mixed), size):
-                own = mixed[k : k + size]
-                batch, y = ids[chosen[own]], label[own]
-                present, inverse = np.unique(batch, return_inverse=True)
-                local = inverse.reshape(batch.shape) - (present[0] < 0)
-                sub = np.r_[present[present >= 0], v.n]  # the last row stays zero
-                logits, kept = net.forward(x[sub], np.where(batch < 0, -1, local), keep=True)
-                slope = ((sigmoid(logits) - y) * np.where(y > 0, lift, 1) / len(own)).astype("f4")
-                grads, x_slope = net.backward(x[sub], np.where(batch < 0, -1, local), kept, slope)
-                step += 1
-                for name, g in grads.items():
-                    m, s = moments[name]
-                    m += 0.1 * (g - m)
-                    s += 0.01 * (g * g - s)
-                    net.w[name] -= (0.015 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)).astype("f4")
-                _learn_embeddings(net, v, sub[:-1], x_slope[:-1], squares)
-            x = net.embed(v)
-        logits = net.logits(x, ids)
+    learner = Learner(net, v, v.ids[np.repeat(toxic == 0, v.sizes)])
+    begins, counts = np.searchsorted(text, np.arange(len(texts))), np.bincount(text, minlength=len(texts))
+    # some texts of both kinds are put aside for the scores' calibration
+    order = rng.permutation(len(texts))
+    kinds = [order[toxic[order] == kind] for kind in (0, 1)]
+    aside = np.concatenate([k[: int(ASIDE * len(k))] for k in kinds])
+    kinds = [k[int(ASIDE * len(k)) :] for k in kinds]
+    half = BATCH // 2
+
+    def any_window(kind: int, size: int) -> np.ndarray:
+        own = rng.choice(kinds[kind], size)
+        return begins[own] + (rng.random(size) * counts[own]).astype(np.int64)
+
+    y = np.repeat([1.0, 0.0], half)
+    for _ in range(FIRST_STEPS):
+        learner.step(ids[np.r_[any_window(1, half), any_window(0, half)]], y)
+    mean, taken = {}, 0
+    for _ in range(ROUNDS):
+        logits = net.logits(net.embed(v), ids)
         order = np.lexsort((-logits, text))
         best = order[np.r_[True, text[order][1:] != text[order][:-1]]]
+        sure = kinds[1][np.argsort(logits[best[kinds[1]]], kind="stable")[int(DOUBTED * len(kinds[1])) :]]
+        for _ in range(ROUND_STEPS):
+            hard = best[rng.choice(kinds[0], half // 2)]
+            learner.step(ids[np.r_[best[rng.choice(sure, half)], hard, any_window(0, half - half // 2)]], y)
+            taken += 1
+            for name, now in net.tables().items():  # the mean over the steps is steadier than the last of them
+                mean[name] = now.astype("f4") if taken == 1 else mean[name] + (now - mean[name]) / taken
+    net.word, net.gram = mean.pop("word"), mean.pop("gram")
+    net.w = mean
+    logits = net.logits(net.embed(v), ids)
+    most = np.maximum.reduceat(logits, begins).astype("f8")
+    share = float(np.clip(toxic.mean() if toxic_share is None else toxic_share, 1e-3, 1 - 1e-3))
+    scale, shift = calibrated(most[aside], toxic[aside], share) if min(np.bincount(toxic[aside].astype(int), minlength=2)) else (1.0, np.log(share / (1 - share)))
+    net.w["out"] = (scale * net.w["out"]).astype("f4")
+    net.w["bias"] = (scale * net.w["bias"] + shift).astype("f4")
     return net
 
 
-def _learn_embeddings(net: Network, v: Vocabulary, words: np.ndarray, slope: np.ndarray, squares: dict) -> None:
-    """One adaptive step of the tables' rows that these words use."""
-    starts, ends = np.searchsorted(v.gram_words, words), np.searchsorted(v.gram_words, words, "right")
-    counts = ends - starts
-    rows = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    owner = np.repeat(np.arange(len(words)), counts)
-    values = net.gram[v.gram_slots[rows]]
-    for name, slots, g in (("word", v.word_slots[words], slope[:, :PARTS]), ("gram", v.gram_slots[rows], None)):
-        if g is None:
-            if not len(rows):
-                continue
-            has = np.flatnonzero(counts)
-            top = np.zeros((len(words), PARTS), "f4")
-            top[has] = np.maximum.reduceat(values, (np.cumsum(counts) - counts)[has], axis=0)
-            g = np.where(values == top[owner], slope[owner, PARTS:], 0)
-        table, square = getattr(net, name), squares[name]
+def calibrated(logits: np.ndarray, toxic: np.ndarray, share: float) -> tuple[float, float]:
+    """Scale and shift of the texts' logits with the least loss, where so many of all texts are toxic."""
+    weight = np.where(toxic > 0, share / toxic.mean(), (1 - share) / (1 - toxic.mean())) / len(toxic)
+    loss = {
+        (scale, shift): float((weight * np.logaddexp(0, np.where(toxic > 0, -1, 1) * (scale * logits + shift))).sum()) + shift * shift / (50 * len(toxic))
+        for scale in (0.25, 0.5, 0.75, 1.0)
+        for shift in np.linspace(-6, 4, 101).tolist()
+    }
+    return min(loss, key=loss.get)
+
+
+class Learner:
+    """Adaptive steps of a network's weights, and of the embeddings of the words that a batch has."""
+
+    def __init__(self, net: Network, v: Vocabulary, clean: np.ndarray):
+        """``clean`` are the words of the clean texts, as often as they stand there."""
+        self.net, self.v, self.clean, self.steps = net, v, clean if len(clean) else np.array([-1]), 0
+        self.moments = {k: (np.zeros_like(w), np.zeros_like(w)) for k, w in net.w.items()}
+        self.squares = {"word": np.full_like(net.word, 1e-3), "gram": np.full_like(net.gram, 1e-3)}
+        self.starts = np.searchsorted(v.gram_words, np.arange(v.n + 1))
+        self.rng = np.random.default_rng(SEED + 1)
+        # in how many texts a word stands, and its n-grams at most; too few would only tell those very texts apart
+        texts = np.bincount(v.text_words()[0], minlength=v.n)
+        self.common = {
+            "word": np.bincount(v.word_slots, texts, 1 << WORD_BITS) >= LEAST_TEXTS,
+            "gram": np.bincount(v.gram_slots, texts[v.gram_words], 1 << GRAM_BITS) >= LEAST_TEXTS,
+        }
+
+    def step(self, ids: np.ndarray, y: np.ndarray) -> None:
+        net, v = self.net, self.v
+        # some words are swapped for words of clean texts, so that no text is known by what happens to surround its cause
+        swapped = (self.rng.random(ids.shape) < SWAPPED) & (ids >= 0)
+        ids = np.where(swapped, self.clean[self.rng.integers(0, len(self.clean), ids.shape)], ids)
+        present, inverse = np.unique(ids, return_inverse=True)
+        gap = int(present[0] < 0)
+        words, local = present[gap:], inverse.reshape(ids.shape) - gap
+        x, rows, owner, starts, has = self._embed(words)
+        local = np.where(ids < 0, -1, local)
+        logits, kept = net.forward(x, local, keep=True)
+        slope = ((sigmoid(logits) - y) / len(y)).astype("f4")
+        grads, x_slope = net.backward(x, local, kept, slope)
+        self.steps += 1
+        for name, g in grads.items():
+            m, s = self.moments[name]
+            m += 0.1 * (g - m)
+            s += 0.01 * (g * g - s)
+            net.w[name] -= (RATE * (m / (1 - 0.9**self.steps)) / (np.sqrt(s / (1 - 0.99**self.steps)) + 1e-8)).astype("f4")
+        self._learn("word", v.word_slots[words], x_slope[:-1, :PARTS])
+        if len(rows):
+            # only the greatest of a word's n-grams had a part in it
+            values = net.gram[v.gram_slots[rows]]
+            top = values == x[:-1][owner, PARTS:]
+            self._learn("gram", v.gram_slots[rows], np.where(top, x_slope[:-1][owner, PARTS:], 0))
+
+    def _embed(self, words: np.ndarray):
+        net, v = self.net, self.v
+        counts = self.starts[words + 1] - self.starts[words]
+        places = np.cumsum(counts) - counts
+        rows = np.repeat(self.starts[words] - places, counts) + np.arange(counts.sum())
+        owner = np.repeat(np.arange(len(words)), counts)
+        has = np.flatnonzero(counts)
+        x = np.zeros((len(words) + 1, 2 * PARTS), "f4")
+        x[:-1, :PARTS] = net.word[v.word_slots[words]]
+        if len(rows):
+            x[has, PARTS:] = np.maximum.reduceat(net.gram[v.gram_slots[rows]], places[has], axis=0)
+        return x, rows, owner, places, has
+
+    def _learn(self, name: str, slots: np.ndarray, slope: np.ndarray) -> None:
+        table, square = getattr(self.net, name), self.squares[name]
+        common = self.common[name][slots]
+        slots, slope = slots[common], slope[common]
         touched, inverse = np.unique(slots, return_inverse=True)
-        total = np.zeros((len(touched), PARTS), "f4")
-        np.add.at(total, inverse, g)
+        total = np.stack([np.bincount(inverse, slope[:, k], len(touched)) for k in range(PARTS)], 1).astype("f4")
         square[touched] += total * total
-        table[touched] -= 0.02 * total / np.sqrt(square[touched])
+        table[touched] -= TABLE_RATE * total / np.sqrt(square[touched])
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int]]:
-    """Texts and labels to learn from: rows that are not held out, in order of a hash of the id."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int], float]:
+    """Texts and labels to learn from, of rows that are not held out, and the toxic share of all such rows."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(F.col(label_col)).cast("int").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
+    share = known.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     by = (F.xxhash64("doc_id"), F.col("doc_id"))
     chosen = known.where("toxic = 1").orderBy(*by).limit(TOXIC_ROWS).unionByName(known.where("toxic = 0").orderBy(*by).limit(CLEAN_ROWS))
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    # bounded by the two limits; repeated ids count once
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # both bounded by the limits; repeated ids count once
+    texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("toxic").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = texts.withColumn("upto", F.sum(F.octet_length("text")).over(before)).where(F.col("upto") <= TRAINING_BYTES).drop("upto").toArrow().to_pylist()
     rows.sort(key=lambda r: r["doc_id"])
-    return [r["text"] or "" for r in rows], [r["toxic"] for r in rows]
+    return [r["text"] for r in rows], [r["toxic"] for r in rows], share
 
 
 def held_out(doc_id):

@@ -425,6 +425,28 @@ def test_toxicity(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in got if r.predicted == 0}
 
 
+def test_toxicity_is_learnt_in_context():
+    """Both kinds of texts have the same words, as often: only their order tells, so no word's statistics can."""
+    rng = random.Random(16)
+
+    def text(toxic):
+        words = sentence(rng, 20, 60).split()
+        for _ in range(3):
+            at = rng.randrange(len(words))
+            words[at:at] = ["quick", "brown"] if toxic else ["brown", "quick"]
+        return " ".join(words)
+
+    labels = [k % 2 for k in range(700)]
+    net = toxicity.train([text(y) for y in labels], labels)
+    logits, _, _, best = net.scores(toxicity.Vocabulary([toxicity.words_of(text(k % 2)) for k in range(200)]))
+    assert np.mean((logits[best] >= 0) == np.arange(200) % 2) > 0.9
+
+
+def test_toxicity_without_both_kinds():
+    assert toxicity.train([], []) == 0.0 and toxicity.train(["a", "b"], [1, 1]) == 1.0
+    assert toxicity.train(["a", ""], [0, 0]) == 0.0
+
+
 def test_toxicity_gradients():
     rng = np.random.default_rng(0)
     net = toxicity.Network(rng)
