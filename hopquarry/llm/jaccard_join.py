@@ -65,7 +65,7 @@ MULTIPLIER = 0x9E3779B97F4A7C15
 #: Entries of the table of frequent shingles.
 FREQUENT = 262_144
 #: Shingles are counted in runs of about so many; those that several documents of a run have are reported.
-COUNTED = 1_000_000
+COUNTED = 4_000_000
 #: Buckets of more classes are first joined through leaders.
 SMALL = 8
 #: A shingle of more documents is dealt to several parts, of about so many each.
@@ -120,32 +120,46 @@ class Sets:
 CLASSES = "doc_id long, handle long, n_shingles long, key long, frequent binary"
 
 
-def repeated_shingles(runs: list[np.ndarray]) -> bytes | None:
-    """Shingles that stand there several times, then their counts."""
-    shingles, counts = np.unique(np.concatenate(runs), return_counts=True)
-    many = counts > 1
-    return shingles[many].tobytes() + counts[many].astype("<u8").tobytes() if many.any() else None
+class Repeated:
+    """Counts shingles in runs, in a buffer of one run; those that stand in a run several times are reported."""
+
+    def __init__(self):
+        self.buffer, self.held = np.zeros(COUNTED, np.uint64), 0
+
+    def add(self, shingles: np.ndarray) -> bytes | None:
+        """A report of the run before, if these shingles begin another."""
+        report = self.report() if self.held + len(shingles) > len(self.buffer) else None
+        if len(shingles) > len(self.buffer):  # a very long text
+            self.buffer = np.zeros(len(shingles), np.uint64)
+        self.buffer[self.held : self.held + len(shingles)] = shingles
+        self.held += len(shingles)
+        return report
+
+    def report(self) -> bytes | None:
+        """Shingles, then their counts."""
+        run, self.held = self.buffer[: self.held], 0
+        run.sort()
+        shingles, counts = np.unique(run[1:][run[1:] == run[:-1]], return_counts=True)
+        return shingles.tobytes() + (counts + 1).astype("<u8").tobytes() if len(shingles) else None
 
 
 def class_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document with its set's size and key; the first row of the last batch of a run reports its repeated shingles."""
     names = [x.split()[0] for x in CLASSES.split(", ")]
-    run, held, waiting = [], 0, None
+    repeated, waiting = Repeated(), None
 
     def rows(columns: list, report: bytes | None) -> pa.RecordBatch:
         reports = pa.array([report, *[None] * (len(columns[0]) - 1)], pa.binary())
         return pa.RecordBatch.from_arrays([*columns, reports], names)
 
     for batch, texts in batches_of_texts(batches, 2):
-        if waiting is not None:
-            yield rows(waiting, repeated_shingles(run) if held >= COUNTED else None)
-            run, held = ([], 0) if held >= COUNTED else (run, held)
         sets = Sets(texts)
-        run.append(sets.hashes)
-        held += len(sets.hashes)
+        report = repeated.add(sets.hashes)
+        if waiting is not None:
+            yield rows(waiting, report)
         waiting = [batch.column(0), batch.column(1), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys(), pa.int64())]
     if waiting is not None:
-        yield rows(waiting, repeated_shingles(run))
+        yield rows(waiting, repeated.report())
 
 
 def report_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,11 +336,16 @@ def unpacked_set(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u4", n).astype(np.uint64) | np.frombuffer(data, "<u2", n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch, texts in batches_of_texts(batches, 2):
-        sets = Sets(texts)
-        packed = [packed_set(sets.of(k)) for k in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(packed, pa.binary())], ["key", "members"])
+def rows_of_sets(make):
+    """``key`` and what ``make`` packs of each text's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in batches_of_texts(batches, 2):
+            sets = Sets(texts)
+            packed = [make(sets.of(k)) for k in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([pa.array(sets.keys(), pa.int64()), pa.array(packed, pa.binary())], ["key", "packed"])
+
+    return run
 
 
 #: Pivots of the suffix filter.
@@ -356,38 +375,36 @@ def for_both(pairs: DataFrame, of_key: DataFrame) -> DataFrame:
     return with_b.join(of_key.select(F.col(key).alias("a"), F.col(value).alias("of_a")), "a").select("a", "b", "of_a", "of_b")
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are linked, by the whole sets; stored."""
-    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-    narrowed = likely_members(sets, wanted, "key", wanted.count())
-    return stored(for_both(pairs, narrowed).mapInArrow(verify_rows, "a long, b long").distinct(), "linked")
-
-
-def sets_of(keys: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
-    """``key, members`` for each class among ``keys``, from one of its documents; stored.
+def packed_classes(keys: DataFrame, keyed: DataFrame, classes: DataFrame, make, label: str) -> DataFrame:
+    """``key, packed`` for each class among ``keys``, from one of its documents; stored.
 
     Texts are not shuffled: a bitmap picks the documents, and so a few more, whose rows no pair asks for.
     """
     chosen = stored(classes.join(keys, "key", "left_semi").groupBy("key").agg(F.min("handle").alias("handle")), "chosen")
     texts = likely_members(keyed, chosen, "handle", chosen.count()).select("doc_id", "handle", "text")
-    return stored(texts.mapInArrow(set_rows, "key long, members binary"), "sets")
+    return stored(texts.mapInArrow(rows_of_sets(make), "key long, packed binary"), label)
 
 
-def signature(members: np.ndarray, per_shingle: int) -> bytes:
-    """A bit for each shingle, by its low bits; a power of two of bits, after the size in eight bytes."""
-    bits = min(SIGNATURE_BITS, 1 << (per_shingle * max(1, len(members)) - 1).bit_length())
-    marks = np.zeros(bits, bool)
-    marks[members & np.uint64(bits - 1)] = True
-    return len(members).to_bytes(8, "little") + np.packbits(marks, bitorder="little").tobytes()
+def both_keys(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
 
 
-def signature_rows(per_shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            signatures = [signature(unpacked_set(m.as_py()), per_shingle) for m in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signatures, pa.binary())], ["key", "signature"])
+def verified(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that are linked, by the whole sets; stored."""
+    sets = packed_classes(both_keys(pairs), keyed, classes, packed_set, "sets")
+    return stored(for_both(pairs, sets).mapInArrow(verify_rows, "a long, b long").distinct(), "linked")
 
-    return run
+
+def signature(per_shingle: int):
+    """A bit for each shingle, by its low bits; a power of two of bits, after the size in eight bytes."""
+
+    def make(members: np.ndarray) -> bytes:
+        bits = min(SIGNATURE_BITS, 1 << (per_shingle * max(1, len(members)) - 1).bit_length())
+        marks = np.zeros(bits, bool)
+        marks[members & np.uint64(bits - 1)] = True
+        return len(members).to_bytes(8, "little") + np.packbits(marks, bitorder="little").tobytes()
+
+    return make
 
 
 def halved(table: np.ndarray, width: int) -> np.ndarray:
@@ -415,10 +432,9 @@ def possible_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def linked_pairs(pairs: DataFrame, keyed: DataFrame, classes: DataFrame) -> DataFrame:
     """Those of the stored ``pairs`` that are linked; signatures are shipped first, and whole sets only for what they leave."""
-    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), keyed, classes)
-    signatures = sets.mapInArrow(signature_rows(COARSE), "key long, signature binary")
+    signatures = packed_classes(both_keys(pairs), keyed, classes, signature(COARSE), "signatures")
     left = stored(for_both(pairs, signatures).mapInArrow(possible_rows, "a long, b long").distinct(), "possible")
-    return verified(left, sets)
+    return verified(left, keyed, classes)
 
 
 class Signatures:
@@ -487,8 +503,7 @@ def across_components(members: DataFrame, roots: DataFrame, done: DataFrame, key
     wanted = placed.select(F.col("a").alias("key")).distinct()
     if wanted.isEmpty():
         return None
-    sets = sets_of(wanted, keyed, classes)
-    signatures = stored(sets.mapInArrow(signature_rows(FINE), "key long, signature binary").dropDuplicates(["key"]), "signatures")
+    signatures = packed_classes(wanted, keyed, classes, signature(FINE), "signatures").dropDuplicates(["key"]).withColumnRenamed("packed", "signature")
     placed = placed.join(signatures, placed["a"] == signatures["key"]).drop("key")
     inside = placed.select(
         "shingle", F.pmod("a", "chunks").cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
@@ -501,7 +516,7 @@ def across_components(members: DataFrame, roots: DataFrame, done: DataFrame, key
     met = inside.groupBy("shingle", "chunk", "block").cogroup(outside.groupBy("x_shingle", "x_chunk", "x_block"))
     pairs = met.applyInArrow(outside_pairs, "a long, b long").distinct()
     left = stored(pairs.join(done, ["a", "b"], "left_anti"), "left")
-    return None if left.isEmpty() else verified(left, sets)
+    return None if left.isEmpty() else verified(left, keyed, classes)
 
 
 def grouped_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", salted: int = SALTED) -> DataFrame:

@@ -20,9 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose hashes a worker remembers.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 120_000
 #: Words that are worked on at once, at about this number.
-FLAT_WORDS = 200_000
+FLAT_WORDS = 150_000
 #: Bits of a membership bitmap, at most: 8 MB.
 BITMAP_BITS = 26
 
