@@ -38,8 +38,8 @@ from ..deploy import ship_code
 
 #: Labelled rows to learn from, at most; of each kind, those whose texts stay within so many bytes in order of a hash.
 TOXIC_ROWS = 800
-CLEAN_ROWS = 3000
-TRAINING_BYTES = 10 << 20
+CLEAN_ROWS = 2000
+TRAINING_BYTES = 6 << 20
 WINDOW = 32
 STEP = 16
 HIDDEN = 12
@@ -130,7 +130,7 @@ class Vocabulary:
         at = (np.cumsum(self.sizes) - self.sizes)[text] + place
         grid = at[:, None] + np.arange(WINDOW)
         inside = np.arange(WINDOW) < used[:, None]
-        ids = np.full(grid.shape, -1, np.int64)
+        ids = np.full(grid.shape, -1, np.int32)
         ids[inside] = self.ids[grid[inside]]
         return ids, used, text
 
@@ -215,7 +215,7 @@ class Network:
         return grads, x_slope
 
     def logits(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return np.concatenate([self.forward(x, ids[k : k + 8_000])[0] for k in range(0, len(ids), 8_000)])
+        return np.concatenate([self.forward(x, ids[k : k + 2_000])[0] for k in range(0, len(ids), 2_000)])
 
     def scores(self, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Logit of every window; with the windows' ids, and their texts and the best window of each text."""
