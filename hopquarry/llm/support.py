@@ -19,14 +19,6 @@ from ..deploy import ship_code
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
-#: Settings while a frame is stored.  Small batches keep Python workers small.
-STORING = {
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
-}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_code(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -89,9 +81,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    with contextlib.ExitStack() as held:
-        for key, value in STORING.items():
-            held.enter_context(setting(spark, key, value))
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
