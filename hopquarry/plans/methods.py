@@ -68,6 +68,14 @@ class Settings:
     two_step_query_weight: float = 1.0
     rerank_candidates: int = 100
 
+    def __post_init__(self):
+        for name, known in (
+            ("mode", ("power", "push")), ("backend", ("relational", "kernel")), ("norm", graph.NORMALIZATIONS), ("term_norm", graph.NORMALIZATIONS),
+            ("seed_weighting", ppr.SEED_WEIGHTINGS), ("seed_mix_mode", ppr.MIX_MODES), ("entity_normalize", ("none", "lower", "simple")),
+        ):
+            if getattr(self, name) not in known:
+                raise ValueError(f"unknown {name}: {getattr(self, name)}")
+
 
 @dataclass
 class Engine:

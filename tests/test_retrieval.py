@@ -125,6 +125,31 @@ def test_push_approaches_power(spark):
     assert all(abs(power[d] - push[d]) < 1e-3 for d in power)
 
 
+def test_push_keeps_its_invariant():
+    """Estimates plus the rank of what is left are the exact rank, so they are below it, by less than the rest."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    src, dst = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    edges = pd.DataFrame({"src": src, "dst": dst}).drop_duplicates()
+    edges = pd.concat([edges, pd.DataFrame({"src": range(40), "dst": [(k + 1) % 40 for k in range(40)]})]).drop_duplicates()
+    edges["p"] = 1 / edges.groupby("src")["dst"].transform("count")
+    g = ppr._Csr(edges)
+    s = np.zeros(40)
+    s[[3, 17]] = 0.5
+    exact = ppr._power(g, s, 0.15, 400, None)
+    for eps in (1e-2, 1e-4):
+        got = ppr._push(g, s, 0.15, eps, 10**6)
+        assert (got <= exact + 1e-12).all() and (exact - got).sum() <= 40 * eps
+    assert ppr._push(g, s, 0.15, 1e-4, 2).nonzero()[0].tolist() == [3, 17]
+
+
+@pytest.mark.parametrize("name", ["mode", "backend", "norm", "term_norm", "seed_weighting", "seed_mix_mode", "entity_normalize"])
+def test_unknown_settings_raise(name):
+    with pytest.raises(ValueError, match=name):
+        methods.Settings(**{name: "bogus"})
+
+
 def test_hub_cut_and_edge_cap(spark):
     docs = docs_of(spark, ["Ann. Ben", "Ann. Ann. Cara", "Ben. Ann"])
     table = graph.entity_table(graph.mentions(docs), docs, hub_top_ratio=0.34)
