@@ -11,6 +11,8 @@ from html import unescape
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in "script style textarea title iframe noscript template svg select".split()}
+#: Without an end tag these hold the rest of the page; of the others only the start tag counts then.
+TO_THE_END = set("script style textarea title iframe".split())
 BLOCK = set(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -34,6 +36,14 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\
 TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+/$""")
+
+
+def closes_itself(rest: str) -> bool:
+    """Whether a start tag ends in a slash that is not part of an attribute's value."""
+    return rest.endswith("/") and not UNQUOTED.search(rest)
+
+
 class Stack:
     """The open elements, and for each tag name the places where it is open: the innermost is found at any depth."""
 
@@ -93,7 +103,8 @@ class Page:
                 continue
             ahead = html[at + 1 : at + 2]
             if html.startswith("<!--", at):
-                end = html.find("-->", at + 4)
+                # "<!-->" and "<!--->" are whole comments
+                end = html.find("-->", at + 2 if html.startswith(("<!-->", "<!--->"), at) else at + 4)
                 at = size if end < 0 else end + 3
                 continue
             if ahead in ("!", "?"):
@@ -133,15 +144,18 @@ class Page:
             if name in VOID:
                 continue
             if name in RAW:
-                end = RAW[name].search(html, at)
-                at = size if end is None else html.find(">", end.start()) + 1 or size
+                end = None if closes_itself(rest) and name == "svg" else RAW[name].search(html, at)
+                if end is not None:
+                    at = html.find(">", end.start()) + 1 or size
+                elif name in TO_THE_END:
+                    at = size
                 continue
             node = len(tags)
             tags.append(name)
             self.parents.append(stack.nodes[-1])
             self.depths.append(len(stack.nodes))
             self.names.append(tuple(t.lower() for _, v in ATTRIBUTE.findall(rest) for t in TOKEN.findall(v)) if "=" in rest else ())
-            if not rest.endswith("/") or name in BLOCK:
+            if name in BLOCK or not closes_itself(rest):
                 stack.push(node, name)
 
 

@@ -484,6 +484,31 @@ def test_html_extraction(spark):
     assert all(r.n_chars == len(r.text) for r in got)
 
 
+@pytest.mark.parametrize(
+    ("html", "texts"),
+    [
+        ("<p>one</p><svg width='1'/><p>two</p>", "one|two"),
+        ("<p>one</p><svg><text>no</text></svg><p>two</p>", "one|two"),
+        ("<p>one</p><template><p>two</p>", "one|two"),
+        ("<p>one</p><!--><p>two</p><!---><p>three</p><!-- <p>no</p> --><p>four", "one|two|three|four"),
+        ("<p>one</p><script>no", "one"),
+        ("<p><a href=/x/>one</a> two</p>", "one two"),
+    ],
+)
+def test_text_beside_odd_tags(html, texts):
+    from hopquarry.llm.dom import Page, joined_text
+
+    page = Page(html)
+    assert joined_text(page.pieces, [True] * len(page.tags)).split("\n") == texts.split("|")
+
+
+def test_an_unquoted_slash_leaves_the_link_open():
+    from hopquarry.llm.dom import Page
+
+    page = Page("<p><a href=/x/>one</a><br/>two")
+    assert [page.tags[node] for node, _, text in page.pieces if text.strip()] == ["a", "p"]
+
+
 def test_end_tags_find_their_elements_below_many_open_ones():
     page = html_extract.Page("<article><p>" + "<span>" * 1000 + "story</p><p>more</article><footer>foot</footer>")
     chain = {}
