@@ -12,13 +12,18 @@ position from the end, so that the least number is also the rightmost of equal
 hashes.  A fingerprint's text lists ``hash:position`` in order of position; the
 likeness of two fingerprints is the Jaccard index of their hashes.
 
+Units are counted from the last white space: a passage without any that starts
+elsewhere in its run has other units, and only passages with white space are sure
+to be found.
+
 Successors come without a global sort: approximate quantiles cut the ids into
 buckets of like size, each bucket gets the first row of the next as a last row
 that is not its own, and one window per bucket does the rest.
 
 Defined results: null and empty texts have an empty fingerprint, and two empty
 fingerprints are alike (1.0); texts of fewer than ``K`` units have one hash of
-all; repeated ids follow one another in order of their texts; a null id comes
+all; repeated ids follow one another in order of a hash of
+their texts; a null id comes
 first; a single document is its own successor; extra columns are dropped; an
 empty table gives an empty table; positions from 2 ** 24 - 1 on share that one.
 """
@@ -137,7 +142,7 @@ def with_successor_rows(rows: DataFrame) -> tuple[DataFrame, int]:
     guests = (
         rows.join(F.broadcast(keys), F.col("doc_id").eqNullSafe(F.col("first_id")))
         .groupBy("before", "doc_id")
-        .agg(F.min("text").alias("text"))
+        .agg(F.min_by("text", F.sha1("text")).alias("text"))
         .select("doc_id", "text", F.col("before").alias("bucket"), F.lit(False).alias("own"))
     )
     return bucketed.withColumn("own", F.lit(True)).unionByName(guests), buckets
