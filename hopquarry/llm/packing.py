@@ -9,10 +9,12 @@
    that fill the widened gap more tightly.
 3. Bins that a shard could not fill (its last ones, mostly) are opened again
    and their pieces dealt to far fewer shards.  This repeats until one shard
-   holds what is left, so sharding costs next to nothing in the end.
+   holds what is left, so sharding costs next to nothing in the end; after
+   ``LEVELS`` rounds the bins that are still open stay as they are.
 
 Defined results: a null or empty text is one piece that holds the closing id
-alone; repeated rows are packed as documents of their own; extra columns are
+alone; texts of any length are cut into pieces; pieces of equal length are taken in
+any order; repeated rows are dealt to shards like any others and packed as documents of their own; extra columns are
 dropped; an empty table gives an empty table.
 """
 
@@ -36,6 +38,7 @@ CAPACITY = 2048
 PER_SHARD = 2000
 #: A bin with at most this share of its capacity free counts as filled.
 FILLED = 1 / 256
+LEVELS = 8
 CACHE_ENTRIES = 300_000
 MAX_CACHED = 64
 
@@ -228,13 +231,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_shard: int = PER_SHARD
     rows = left.count()
     while True:
         shards = parts(rows, per_shard * (1 if level == 0 else 2))
-        shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(shards))
+        # the place in the stored rows deals repeated rows to different shards, the same ones at any attempt
+        shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level), F.monotonically_increasing_id()), F.lit(shards))
         packed = stored(
             left.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda pdf: _pack_shard(pdf, capacity), packed_schema),
             f"packed-{level}",
         )
         sequence = (F.lit(level) * (1 << 56) + F.col("shard") * (1 << 24) + F.col("bin")).cast("long")
-        last = shards == 1 or level == 7
+        last = shards == 1 or level == LEVELS - 1
         kept = packed if last else packed.where(F.col("fill") >= enough)
         out = kept.select(*names, sequence.alias("sequence_id"), F.col("offset"))
         done = out if done is None else done.unionByName(out)
