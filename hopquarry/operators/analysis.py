@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_entity
+from ..storage import stored
 from . import metrics
-from .graph import mentions
+from .graph import mentions, without_hubs
 from .linking import apply_alias_map
 
 BUCKETS = ("no_entity", "entity_no_gold", "entity_gold")
@@ -40,11 +41,11 @@ def hub_coverage(
 ) -> DataFrame:
     """One row: how many gold titles pruning of hubs removes, and how many questions that affects.  Texts are taken cleaned."""
     found = mentions(docs, aliases, mode)
-    table = found.groupBy("entity").agg(F.count("*").alias("df"), F.min(F.struct("doc_idx", "pos")).alias("first"))
+    table = stored(found.groupBy("entity").agg(F.count("*").alias("df"), F.min(F.struct("doc_idx", "pos")).alias("first")), "entities")
     bound = docs.agg(F.greatest(F.lit(1), F.floor(max_df_ratio * F.greatest(F.lit(1), F.count("*")))).alias("most"))
     window = table.crossJoin(F.broadcast(bound)).where((F.col("df") >= min_df) & (F.col("df") <= F.col("most"))).drop("most")
-    cut = int(window.count() * min(1.0, max(0.0, hub_top_ratio)))
-    removed = window.orderBy(F.desc("df"), "first").limit(cut).select("entity")
+    firsts = window.select("entity", "df", F.col("first.doc_idx").alias("first_doc"), F.col("first.pos").alias("first_pos"))
+    removed = without_hubs(firsts, hub_top_ratio)[1].select("entity")
     mapped = apply_alias_map(gold_titles.select("qid", F.col("title").alias("entity")), aliases, mode)
     titles = mapped.select("entity").distinct()
     gone, kept = titles.join(removed, "entity", "left_semi"), titles.join(window, "entity", "left_semi").join(removed, "entity", "left_anti")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extract_entities, tokenize
+from ..storage import stored
 from .linking import apply_alias_map
 
 NORMALIZATIONS = ("row", "sym", "none")
@@ -40,14 +41,26 @@ def term_mentions(docs: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Number rows from 0 in this order: sorted ranges, each shifted by the sizes of those before."""
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    """Number rows from 0 in this order: sorted ranges, each shifted by the sizes of those before.
+
+    The ranges are stored before they are counted, so that both uses see the same cuts.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1
     sizes = ranged.groupBy("part").count()
     shift = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("place", place).join(F.broadcast(sizes.select("part", shift.alias("shift"))), "part").withColumn(name, F.col("place") + F.col("shift")).drop("part", "place", "shift")
 
 
+def without_hubs(table: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of an entity table without its most frequent share, and that share: places by ranges, not one sorted task."""
+    placed = numbered(table.withColumn("_neg", -F.col("df")), ["_neg", "first_doc", "first_pos"], "_place").drop("_neg")
+    size = table.agg(F.floor(F.count("*") * min(1.0, max(0.0, float(share)))).alias("_cut"))
+    cut = placed.crossJoin(F.broadcast(size))
+    kept, hubs = cut.where("_place >= _cut"), cut.where("_place < _cut")
+    return kept.drop("_place", "_cut"), hubs.drop("_place", "_cut")
+
+
 def entity_table(found: DataFrame, docs: DataFrame, min_df: int = 1, max_df_ratio: float = 1.0, hub_top_ratio: float = 0.0) -> DataFrame:
     """Entities whose document frequency lies in the window, without the most frequent share."""
     table = found.groupBy("entity").agg(F.count("*").alias("df"), F.min(F.struct("doc_idx", "pos")).alias("first"))
@@ -55,9 +68,7 @@ def entity_table(found: DataFrame, docs: DataFrame, min_df: int = 1, max_df_rati
     table = table.crossJoin(F.broadcast(bound)).where((F.col("df") >= min_df) & (F.col("df") <= F.col("most"))).drop("most")
     table = table.select("entity", "df", F.col("first.doc_idx").alias("first_doc"), F.col("first.pos").alias("first_pos"))
     if hub_top_ratio > 0:
-        cut = int(table.count() * min(1.0, max(0.0, float(hub_top_ratio))))
-        hubs = table.orderBy(F.desc("df"), "first_doc", "first_pos").limit(cut).select("entity")
-        table = table.join(hubs, "entity", "left_anti")
+        table = without_hubs(table, hub_top_ratio)[0]
     return numbered(table, ["first_doc", "first_pos"], "ent_idx").select("entity", "df", "ent_idx")
 
 
@@ -96,17 +107,18 @@ def build_graph(
     docs: DataFrame, aliases: DataFrame | None = None, mode: str = "none", min_len: int = 2, min_df: int = 1, max_df_ratio: float = 1.0,
     hub_penalty: float = 0.0, hub_top_ratio: float = 0.0, edge_cap: int | None = None, normalization: str = "row",
 ) -> Graph:
-    found = mentions(docs, aliases, mode, min_len)
-    entities = entity_table(found, docs, min_df, max_df_ratio, hub_top_ratio)
+    """Mentions, entities and edges are stored: texts are read once, and rounds of a walk join tables."""
+    found = stored(mentions(docs, aliases, mode, min_len), "mentions")
+    entities = stored(entity_table(found, docs, min_df, max_df_ratio, hub_top_ratio), "entities")
     pairs = weighted_pairs(found, entities, docs, hub_penalty, edge_cap)
-    return Graph(entities, transition(pairs, normalization), docs.select("doc_idx"), pairs)
+    return Graph(entities, stored(transition(pairs, normalization), "edges"), docs.select("doc_idx"), pairs)
 
 
 def build_term_graph(docs: DataFrame, min_df: int = 5, max_df_ratio: float = 0.2, normalization: str = "row") -> Graph:
-    found = term_mentions(docs)
-    entities = entity_table(found, docs, min_df, max_df_ratio)
+    found = stored(term_mentions(docs), "mentions")
+    entities = stored(entity_table(found, docs, min_df, max_df_ratio), "entities")
     pairs = weighted_pairs(found, entities, docs)
-    return Graph(entities, transition(pairs, normalization), docs.select("doc_idx"), pairs)
+    return Graph(entities, stored(transition(pairs, normalization), "edges"), docs.select("doc_idx"), pairs)
 
 
 def graph_stats(graph: Graph) -> DataFrame:

@@ -1,7 +1,8 @@
 """BM25 and its query expansions, for all questions at once.
 
-Documents' tokens are counted per (term, document); a batch of questions only
-touches the terms that it has, so the term filter comes before the shuffle.
+Texts are read and cut once: the index stores the terms of each document with their
+counts.  A batch of questions only touches the terms that it has, so postings are
+filtered by term or by document before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -13,28 +14,46 @@ from pyspark.sql import functions as F
 
 from ..functions.ranking import pad_with_zeros, top_k
 from ..functions.text import extract_entities, normalize_entity, tokenize
+from ..storage import stored
 
 K1, B = 1.5, 0.75
 
 
 @dataclass
 class LexicalIndex:
-    """``postings`` (term, doc_idx, tf), ``lengths`` (doc_idx, dl), ``terms`` (term, df), ``stats`` (n, avgdl; one row)."""
+    """``counts`` (doc_idx, dl, terms: array of term and tf), stored; ``terms`` (term, df), ``stats`` (n, avgdl; one row)."""
 
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    counts: DataFrame
     docs: DataFrame
 
+    def postings(self, only: DataFrame | None = None, by: str = "term") -> DataFrame:
+        """``doc_idx, dl, term, tf``; with ``only``, of the values that its column ``by`` has."""
+        rows = self.counts
+        if by == "doc_idx":
+            rows = rows.join(only.select(by).distinct(), by, "left_semi")
+        rows = rows.select("doc_idx", "dl", F.inline("terms"))
+        return rows.join(only.select(by).distinct(), by, "left_semi") if only is not None and by == "term" else rows
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self.counts.select("doc_idx", "dl")
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.postings().groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def stats(self) -> DataFrame:
+        return self.lengths.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+
 
 def build_index(docs: DataFrame) -> LexicalIndex:
-    tokens = docs.select("doc_idx", tokenize(F.col("text")).alias("tokens"))
-    lengths = tokens.select("doc_idx", F.size("tokens").cast("long").alias("dl"))
-    postings = tokens.select("doc_idx", F.explode("tokens").alias("term")).groupBy("term", "doc_idx").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    stats = lengths.agg(F.count("*").alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
-    return LexicalIndex(postings, lengths, terms, stats, docs)
+    """One shuffle, by document: tokens are counted where they come to lie."""
+    tokens = docs.select("doc_idx", tokenize(F.col("text")).alias("tokens")).repartition("doc_idx")
+    tokens = tokens.select("doc_idx", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
+    tf = tokens.groupBy("doc_idx", "dl", "term").agg(F.count("*").alias("tf"))
+    terms = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms")
+    return LexicalIndex(stored(tf.groupBy("doc_idx", "dl").agg(terms), "counts"), docs)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -50,12 +69,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def score_terms(index: LexicalIndex, weights: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """``qid, doc_idx, score`` of all documents that share a term with the weighted question."""
     wanted = weights.where("weight != 0")
-    postings = index.postings.join(wanted.select("term").distinct(), "term", "left_semi")
+    postings = index.postings(wanted)
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    parts = postings.join(wanted, "term").join(df, "term").join(index.lengths, "doc_idx").crossJoin(F.broadcast(index.stats))
-    tf, dl = F.col("tf"), F.col("dl")
-    bound = tf + k1 * (1 - b + b * dl / (F.col("avgdl") + 1e-9))
-    part = F.col("weight") * idf(F.col("n"), F.col("df")) * tf * (k1 + 1) / (bound + 1e-9)
+    # what depends on the term alone is worked out before the join, once per question and term
+    terms = wanted.join(df, "term").crossJoin(F.broadcast(index.stats))
+    terms = terms.select("qid", "term", (F.col("weight") * idf(F.col("n"), F.col("df")) * (k1 + 1)).alias("w"), (F.col("avgdl") + 1e-9).alias("mean"))
+    tf = F.col("tf")
+    part = F.col("w") * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("mean")) + 1e-9)
+    parts = postings.join(terms, "term")
     return parts.groupBy("qid", "doc_idx").agg(F.sum(part).alias("score"))
 
 
@@ -75,8 +96,8 @@ def rm3_weights(index: LexicalIndex, queries: DataFrame, hits: DataFrame, fb_doc
     total = F.sum("s").over(per_query)
     feedback = feedback.select("qid", "doc_idx", F.when(total > 0, F.col("s") / total).otherwise(1 / F.count("*").over(per_query)).alias("w"))
     terms = (
-        index.postings.join(feedback, "doc_idx")
-        .join(index.lengths, "doc_idx")
+        index.postings(feedback, "doc_idx")
+        .join(feedback, "doc_idx")
         .groupBy("qid", "term")
         .agg(F.sum(F.col("w") * F.col("tf") / F.col("dl")).alias("score"))
     )

@@ -1,9 +1,8 @@
 """The retrieval methods as one registry of plans over shared, memoised indexes.
 
 A method is a function of an ``Engine`` that returns ``qid, rank, doc_idx,
-score``.  What several methods need (postings, BM25 hits, graphs) is built once
-per engine and setting, so that Spark can reuse its exchanges; unknown names
-raise at once.
+score``.  What several methods need (tokens, BM25 hits, graphs) is built and
+stored once per engine and setting; unknown names raise at once.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from ..functions.ranking import top_k
 from ..operators import dense, fusion, graph, lexical, ppr
 from ..operators.linking import build_alias_map
 from ..sources.corpus import Corpus
+from ..storage import stored
 
 
 @dataclass(frozen=True)
@@ -77,6 +77,11 @@ class Settings:
                 raise ValueError(f"unknown {name}: {getattr(self, name)}")
 
 
+#: The settings that the graphs depend on.
+GRAPH_SETTINGS = ("use_aliases", "entity_normalize", "min_df", "max_df_ratio", "hub_penalty", "hub_top_ratio", "edge_cap", "norm")
+TERM_GRAPH_SETTINGS = ("term_min_df", "term_max_df_ratio", "term_norm")
+
+
 @dataclass
 class Engine:
     """A corpus with settings; ``doc_vectors`` (doc_idx, vec) and ``query_vectors`` (qid, vec) where dense methods are used."""
@@ -119,7 +124,7 @@ class Engine:
     def bm25_hits(self, k: int | None = None) -> DataFrame:
         k = k or self.k
         if k not in self._bm25:
-            self._bm25[k] = lexical.search(self.index, lexical.query_terms(self.corpus.queries), self.corpus.queries, k)
+            self._bm25[k] = stored(lexical.search(self.index, lexical.query_terms(self.corpus.queries), self.corpus.queries, k), "hits")
         return self._bm25[k]
 
     @cached_property
@@ -259,5 +264,10 @@ def retrieve(engine: Engine, methods: list[str]) -> DataFrame:
 
 
 def with_settings(engine: Engine, **changes) -> Engine:
-    """The same corpus and models with other settings."""
-    return Engine(engine.corpus, replace(engine.settings, **changes), engine.doc_vectors, engine.query_vectors, engine.scorer)
+    """The same corpus and models with other settings; what does not depend on the changed ones is kept."""
+    out = Engine(engine.corpus, replace(engine.settings, **changes), engine.doc_vectors, engine.query_vectors, engine.scorer)
+    kept = {"index": (), "_bm25": (), "aliases": ("use_aliases",), "graph": GRAPH_SETTINGS, "term_graph": TERM_GRAPH_SETTINGS}
+    for name, needs in kept.items():
+        if name in engine.__dict__ and not set(needs) & set(changes):
+            out.__dict__[name] = engine.__dict__[name]
+    return out
