@@ -16,12 +16,13 @@ which is all that the components need.  Lists are dealt in chunks of bounded
 size to blocks of queries, so a list of any size is many tasks.
 
 Centroids and codebooks are fitted on at most ``SAMPLE`` classes, by a hash;
-every row is indexed.
+every row is indexed.  They are of the most frequent length; vectors of another
+length, which have a cosine with their own length only, meet the rows of their label
+and length in blocks.
 
 Defined results: rows whose label or vector is null, or whose vector is empty,
 zero or holds null or non-finite components, link with nothing and keep their
-own id; vectors of other length than most link with nothing likewise; repeated
-rows are links of each other; extra columns are dropped; an empty table gives an
+own id; vectors of different lengths do not link; repeated rows are links of each other; extra columns are dropped; an empty table gives an
 empty table.
 """
 
@@ -41,8 +42,6 @@ SAMPLE = 20_000
 LISTS = (8, 1024)
 #: A class is compared with its whole label if it reaches more lists than this, and than one in ``WIDE_PART``.
 WIDE, WIDE_PART = 6, 8
-#: Stands for the whole label where a list is named.
-WHOLE = -1
 SUBSPACES = 8
 CODEWORDS = 64
 FIT_ROUNDS = 8
@@ -164,7 +163,7 @@ LINKS = "kind byte, a long, b long"
 
 
 def list_links(quantiser, cosine: float):
-    """Links of the queries (right) to the entries (left) of one list or label: counts (0) and forest edges (1)."""
+    """Links of the queries (right) to the entries (left) of one list, or of a label and length: counts (0) and forest edges (1)."""
     radius = np.sqrt(2 - 2 * cosine) + 1e-9
 
     def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
@@ -174,13 +173,13 @@ def list_links(quantiser, cosine: float):
         if len(left) and len(right):
             which = int(left["list"].iloc[0])
             y, x = unit_vectors(left["vector"].tolist()), unit_vectors(right["q_vector"].tolist())
-            if which != WHOLE:
+            if which >= 0:
                 codes, error = q.encode(y, np.full(len(y), which))
             y_key, x_key, y_n = left["key"].to_numpy(), right["q_key"].to_numpy(), left["n"].to_numpy()
             x_count = np.zeros(len(x), np.int64)
             for k in range(0, len(x), 512):
                 rows = slice(k, k + 512)
-                if which == WHOLE:
+                if which < 0:
                     i, j = np.nonzero(x[rows] @ y.T >= cosine)
                 else:
                     maybe = q.coded_distances(x[rows], which, codes) <= (radius + error) ** 2
@@ -218,9 +217,16 @@ def place_rows(quantiser, cosine: float):
             vectors = batch.column(2).to_pylist()
             if not vectors:
                 continue
-            own, probes = quantiser.value.place(unit_vectors(vectors), radius)
-            wide = wide_from(len(quantiser.value.coarse))
-            probes = [p.astype("i4") if len(p) <= wide else np.array([WHOLE], "i4") for p in probes]
+            q = quantiser.value
+            # minus the length names the list of all vectors of that length
+            own = np.array([-(len(v) // 8) for v in vectors], "i4")
+            probes = [[o] for o in own.tolist()]
+            usual = np.flatnonzero(own == -q.dim)
+            if len(usual):
+                own[usual], reached = q.place(unit_vectors([vectors[i] for i in usual]), radius)
+                for i, p in zip(usual, reached, strict=True):
+                    if len(p) <= wide_from(len(q.coarse)):
+                        probes[i] = p.tolist()
             columns = [*batch.columns, pa.array(own.astype("i4"), pa.int32()), pa.array(probes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "key", "vector", "n", "home", "probes"])
 
@@ -236,10 +242,10 @@ def near_duplicates(
     rows = embeddings.select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("embedding")
     ).mapInArrow(packed_vectors, "vec_id long, label long, vector binary")
-    # one length can be compared: the most frequent
+    # the quantiser is for the most frequent length
     size = rows.where("vector is not null and label is not null").groupBy(F.octet_length("vector").alias("size")).count()
     most = size.orderBy(F.desc("count"), "size").first()
-    usable = F.col("label").isNotNull() & (F.octet_length("vector") == (most["size"] if most else 0))
+    usable = F.col("label").isNotNull() & F.col("vector").isNotNull()
     rows = stored(rows.withColumn("key", F.when(usable, F.xxhash64("label", "vector"))), "vectors")
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     compared = rows.where("key is not null")
@@ -247,11 +253,12 @@ def near_duplicates(
         compared.groupBy("key").agg(F.min("label").alias("label"), F.min("vector").alias("vector"), F.count("*").alias("n"), F.min("vec_id").alias("least")),
         "classes",
     )
-    total = classes.count()
-    if not total:
+    if not most:
         return alone.select("*", F.lit(True).alias("kept"))
+    usual = classes.where(F.octet_length("vector") == most["size"])
+    total = usual.count()
     # a bounded sample, in order of the keys (hashes)
-    sample = classes.select("key", "vector").orderBy("key").limit(SAMPLE).collect()
+    sample = usual.select("key", "vector").orderBy("key").limit(SAMPLE).collect()
     lists = int(np.clip(np.sqrt(total) / 2, *LISTS))
     quantiser = spark.sparkContext.broadcast(Quantiser(unit_vectors([bytes(r["vector"]) for r in sample]), lists))
     placed = stored(
@@ -259,7 +266,7 @@ def near_duplicates(
         "placed",
     )
     asked = placed.select("label", "key", "vector", F.explode("probes").alias("list"))
-    held = placed.select("label", "key", "vector", "n", F.explode(F.array("home", F.lit(WHOLE))).alias("list"))
+    held = placed.select("label", "key", "vector", "n", F.explode(F.array_distinct(F.array("home", -(F.octet_length("vector") / 8).cast("int")))).alias("list"))
     # chunks of entries and blocks of queries in each list
     entries_in = held.groupBy("label", "list").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     queries_in = asked.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))

@@ -323,6 +323,12 @@ def test_embeddings_against_brute_force(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in got if i >= n)
 
 
+def test_embeddings_of_several_lengths(spark):
+    rows = [(1, [1.0, 2.0], 0), (2, [1.0, 2.01], 0), (3, [1.0, 2.0], 1), (4, [1.0, 2.0, 0.0], 0), (5, [1.0, 2.0, 0.01], 0), (6, [0.0, 0.0, 1.0], 0), (7, [-5.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7)}
+
+
 def test_embeddings_of_a_large_group_of_near_copies(spark, tmp_path):
     """Far more lists than a few lie in the group, and each member links across all of them."""
     rng = np.random.default_rng(6)
