@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, embedding_dedup, html_extract, jaccard_join, packing, substring_dedup, toxicity, url_filter, warc, winnowing
+from . import (
+    byte_bpe,
+    embedding_dedup,
+    html_extract,
+    importance,
+    jaccard_join,
+    license_scan,
+    packing,
+    substring_dedup,
+    token_alignment,
+    toxicity,
+    url_filter,
+    warc,
+    winnowing,
+)
 from .support import table
 
 
@@ -104,6 +118,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_toxicity": op2_toxicity,
@@ -115,6 +142,9 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_fingerprints": op9_fingerprints,
     "op10_html_extraction": op10_html_extraction,
+    "op11_license_scan": op11_license_scan,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL}

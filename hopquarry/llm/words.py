@@ -44,6 +44,15 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
 
 
+#: A-Z to a-z; every ASCII character but letters and digits to a space.
+TO_WORDS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256)).lower()
+
+
+def ascii_words(data: bytes) -> list[bytes]:
+    """Matches of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` in the text with A-Z lower-cased, as UTF-8."""
+    return data.translate(TO_WORDS).split()
+
+
 def lower_ascii(data: bytes) -> bytes:
     return data.lower()  # on bytes, only A-Z change
 
