@@ -126,6 +126,48 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP12_SQL = r"""
+WITH table_256 AS (
+  SELECT list(entry ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(0, 8), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, i) AS entry
+    FROM range(0, 256) AS r(i))
+), texts AS (
+  SELECT text, any_value(k) AS k, sum(n_docs) AS n_docs, sum(n_target) AS n_target, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM (SELECT text, 1 AS n_docs, 0 AS n_target, 0 AS k FROM documents UNION ALL SELECT text, 0, 1, 0 FROM benchmark) GROUP BY text
+), features AS (
+  SELECT text, n_docs, n_target, unnest(list_concat(words, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS feature
+  FROM texts
+), counted AS (
+  SELECT text, feature, n_docs, n_target, count(*) AS times FROM features GROUP BY ALL
+), hashed AS (
+  SELECT feature, xor(list_reduce(
+    list_transform(range(1, len(hex(encode(feature))), 2), lambda i: ('0x' || substr(hex(encode(feature)), i, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT feature FROM counted), table_256
+), bucketed AS (
+  SELECT text, bucket, times, times * n_docs AS in_docs, times * n_target AS in_target FROM counted JOIN hashed USING (feature)
+), sizes AS (
+  SELECT bucket, sum(in_docs) AS s, sum(in_target) AS t, sum(sum(in_docs)) OVER () AS s_all, sum(sum(in_target)) OVER () AS t_all
+  FROM bucketed GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE)))::BIGINT AS gain FROM sizes
+), weights AS (
+  SELECT text, sum(times)::BIGINT AS n_features, floor(sum(times * gain)::DOUBLE / sum(times)::DOUBLE)::BIGINT AS weight
+  FROM bucketed JOIN gains USING (bucket) GROUP BY text
+), scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents LEFT JOIN weights USING (text)
+), ranked AS (
+  -- of n words come 2 n - 1 features: twenty words or more are 39 features or more
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 39 ORDER BY score DESC, doc_id) AS place, count(*) FILTER (n_features >= 39) OVER () * 25 // 100 AS drawn
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 39 AND place <= drawn THEN place END AS rank FROM ranked
+"""
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return token_alignment.align_documents(table(spark, sf_dir, "documents"), a, b)
@@ -147,4 +189,4 @@ QUERIES = {
     "op13_token_alignment": op13_token_alignment,
 }
 
-ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL}
+ORACLE_SQL = {"op1_url_filters": OP1_SQL, "op3_warc": OP3_SQL, "op12_importance_resampling": OP12_SQL}
