@@ -347,6 +347,61 @@ def test_embeddings_of_a_large_group_of_near_copies(spark, tmp_path):
     assert abs(int(links.sum()) - int(want.sum())) <= 1e-6 * want.sum() and np.abs(links - want).max() <= 2
 
 
+def test_probes_are_learnt(spark):
+    """At 200,000 vectors, nearly all links are found by comparing a few of a hundred pairs; with more recall asked for, lists are added."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((4_000, 48))
+    x = centres[rng.integers(0, 4_000, 200_000)] + 0.27 * rng.standard_normal((200_000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    radius = float(np.sqrt(2 - 2 * embedding_dedup.COSINE))
+    lists = int(np.sqrt(len(x)) / 2)
+    quantiser = embedding_dedup.Quantiser(x[: embedding_dedup.SAMPLE], lists, radius)
+    rows = [(0, k, v.astype("<f8").tobytes()) for k, v in enumerate(x[:60_000])]
+    classes = spark.createDataFrame(rows, "label long, key long, vector binary").repartition(4)
+    asked = (x[: embedding_dedup.ASKED], np.zeros(embedding_dedup.ASKED, int), np.arange(embedding_dedup.ASKED))
+    margins = []
+    for recall in (0.5, embedding_dedup.RECALL):
+        embedding_dedup.learn_margins(classes, {48: quantiser}, {48: asked}, embedding_dedup.COSINE, recall)
+        margins.append(quantiser.margin)
+    assert radius * embedding_dedup.LEAST_MARGIN <= margins[0] < margins[1] < radius / 2
+    home = np.concatenate([quantiser.margins(x[k : k + 5000])[0] for k in range(0, len(x), 5000)])
+    sizes, found, links, compared = np.bincount(home, minlength=len(quantiser.coarse)), 0, 0, 0
+    for k in range(100_000, 102_000, 500):  # none of these was asked
+        reached = quantiser.place(x[k : k + 500])[1]
+        near = x[k : k + 500] @ x.T >= embedding_dedup.COSINE
+        for row, probes in zip(near, reached, strict=True):
+            compared += sizes[probes].sum()
+            links += row.sum() - 1
+            found += np.isin(home[row], probes).sum() - 1
+    assert links > 20_000 and found >= 0.99 * links and compared <= 0.05 * 2_000 * len(x)
+
+
+def test_all_links_on_request(spark):
+    rng = np.random.default_rng(9)
+    vectors = np.repeat(rng.standard_normal((150, 12)), 4, axis=0) + 0.16 * rng.standard_normal((600, 12))
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, recall=1).collect()}
+    assert [got[i] for i in range(600)] == want.tolist()
+
+
+def test_every_frequent_length_is_coded(spark):
+    """Two lengths, both coded; list numbers of one do not mix with those of the other."""
+    rng = np.random.default_rng(10)
+    rows, want = [], {}
+    for dim in (8, 12):
+        base = rng.standard_normal((800, dim))
+        vectors = np.concatenate([base, base + 0.01 * rng.standard_normal(base.shape), base + 0.01 * rng.standard_normal(base.shape)])
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        n = (unit @ unit.T >= 0.93).sum(1) - 1
+        want |= {len(rows) + i: int(k) for i, k in enumerate(n)}
+        rows += [(len(rows) + i, v.tolist(), 3) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df).collect()}
+    assert sum(got.values()) >= 0.99 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+
+
 def test_byte_bpe(spark, documents, texts):
     import tiktoken
 
