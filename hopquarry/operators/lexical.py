@@ -1,22 +1,37 @@
 """BM25 and its query expansions, for all questions at once.
 
 Texts are read and cut once: the index stores the terms of each document with their
-counts.  A batch of questions only touches the terms that it has, so postings are
-filtered by term or by document before anything is shuffled.
+counts, and no text is shuffled.  A search scans it in blocks of documents: each block has its postings
+by term with the greatest impact first, so the best that a question can get there is
+known before any posting is scored, and a block that cannot reach the question's best
+``k`` so far is skipped.  Every task hands on ``k`` rows a question at most.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..deploy import ship_code
 from ..functions.ranking import pad_with_zeros, top_k
 from ..functions.text import extract_entities, normalize_entity, tokenize
 from ..storage import stored
 
 K1, B = 1.5, 0.75
+#: Documents of a block.
+BLOCK = 128
+#: Terms of questions, and questions, that are broadcast at once; more are searched in groups.
+QUESTION_TERMS, QUESTIONS = 500_000, 8192
+#: ASCII letters, lower-cased, and digits; all other bytes to spaces.
+TO_TOKENS = bytes(b if b < 0x80 and chr(b).isalnum() else 0x20 for b in range(256)).lower()
 
 
 @dataclass
@@ -48,12 +63,25 @@ class LexicalIndex:
 
 
 def build_index(docs: DataFrame) -> LexicalIndex:
-    """One shuffle, by document: tokens are counted where they come to lie."""
-    tokens = docs.select("doc_idx", tokenize(F.col("text")).alias("tokens")).repartition("doc_idx")
-    tokens = tokens.select("doc_idx", F.size("tokens").cast("long").alias("dl"), F.explode_outer("tokens").alias("term"))
-    tf = tokens.groupBy("doc_idx", "dl", "term").agg(F.count("*").alias("tf"))
-    terms = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf"))).alias("terms")
-    return LexicalIndex(stored(tf.groupBy("doc_idx", "dl").agg(terms), "counts"), docs)
+    """Tokens (as ``tokenize`` cuts them) are counted where the texts are read; only the counts are dealt evenly."""
+    kind = dict(docs.dtypes)["doc_idx"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, lengths, terms, tf = [0], [], [], []
+            for text in batch.column(1).to_pylist():
+                counts = Counter((text or b"").translate(TO_TOKENS).split())
+                terms += counts.keys()
+                tf += counts.values()
+                sizes.append(len(terms))
+                lengths.append(sum(counts.values()))
+            pairs = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(tf, pa.int64())], ["term", "tf"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pairs)], ["doc_idx", "dl", "terms"])
+
+    ship_code(docs.sparkSession)
+    rows = docs.select("doc_idx", F.col("text").cast("binary").alias("text"))
+    counts = rows.mapInArrow(run, f"doc_idx {kind}, dl long, terms array<struct<term string, tf long>>")
+    return LexicalIndex(stored(counts.repartition("doc_idx"), "counts"), docs)
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -66,24 +94,129 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.groupBy("qid", "term").agg(F.count("*").cast("double").alias("weight"))
 
 
-def score_terms(index: LexicalIndex, weights: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """``qid, doc_idx, score`` of all documents that share a term with the weighted question."""
+def term_weights(index: LexicalIndex, weights: DataFrame, k1: float = K1) -> DataFrame:
+    """``qid, term, w, mean``: what depends on the term alone, once per question and term, and the mean length."""
     wanted = weights.where("weight != 0")
-    postings = index.postings(wanted)
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    # what depends on the term alone is worked out before the join, once per question and term
+    df = index.postings(wanted).groupBy("term").agg(F.count("*").alias("df"))
     terms = wanted.join(df, "term").crossJoin(F.broadcast(index.stats))
-    terms = terms.select("qid", "term", (F.col("weight") * idf(F.col("n"), F.col("df")) * (k1 + 1)).alias("w"), (F.col("avgdl") + 1e-9).alias("mean"))
+    return terms.select("qid", "term", (F.col("weight") * idf(F.col("n"), F.col("df")) * (k1 + 1)).alias("w"), (F.col("avgdl") + 1e-9).alias("mean"))
+
+
+def score_terms(index: LexicalIndex, weights: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """``qid, doc_idx, score`` of all documents that share a term with the weighted question."""
     tf = F.col("tf")
     part = F.col("w") * tf / (tf + k1 * (1 - b + b * F.col("dl") / F.col("mean")) + 1e-9)
-    parts = postings.join(terms, "term")
+    parts = index.postings(weights.where("weight != 0")).join(term_weights(index, weights, k1), "term")
     return parts.groupBy("qid", "doc_idx").agg(F.sum(part).alias("score"))
 
 
+class BlockSearch:
+    """The best ``k`` documents of each question among the blocks seen so far.
+
+    Questions are numbers; their terms come sorted by the term's number.  Weights
+    may have any sign: a block's bound adds the greatest impacts of terms with
+    positive weights only.
+    """
+
+    def __init__(self, question: np.ndarray, term: np.ndarray, weight: np.ndarray, n_questions: int, k: int):
+        self.question, self.term, self.weight, self.n, self.k = question, term, weight, n_questions, k
+        self.q, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        # a question with k documents only takes scores from its k-th on
+        self.floor = np.full(n_questions, -np.inf)
+        self.seen = self.skipped = 0
+
+    def add(self, doc: np.ndarray, place: np.ndarray, term: np.ndarray, impact: np.ndarray) -> None:
+        """A block: its documents, and postings (place of the document, term, impact)."""
+        order = np.lexsort((-impact, term))
+        place, term, impact = place[order], term[order], impact[order]
+        held, first, size = np.unique(term, return_index=True, return_counts=True)
+        low, high = np.searchsorted(self.term, held, "left"), np.searchsorted(self.term, held, "right")
+        which, at = spread(low, high - low)
+        bound = np.bincount(self.question[at], np.maximum(self.weight[at], 0) * impact[first[which]], self.n)
+        live = bound >= self.floor - 1e-9
+        asks = live[self.question[at]]
+        self.seen += int(size[which].sum())
+        self.skipped += int(size[which[~asks]].sum())
+        which, at = which[asks], at[asks]
+        own, posting = spread(first[which], size[which])
+        # accumulators of the live questions only
+        row = np.cumsum(live) - 1
+        cell = row[self.question[at]][own] * len(doc) + place[posting]
+        score = np.bincount(cell, self.weight[at][own] * impact[posting], int(live.sum()) * len(doc))
+        hit = np.unique(cell)
+        q, found = np.flatnonzero(live)[hit // len(doc)], score[hit]
+        good = np.round(found, 9) >= self.floor[q]
+        self._keep(q[good], doc[hit[good] % len(doc)], found[good])
+
+    def _keep(self, q: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        q, doc, score = np.r_[self.q, q], np.r_[self.doc, doc], np.r_[self.score, score]
+        order = np.lexsort((doc, -np.round(score, 9), q))
+        q, doc, score = q[order], doc[order], score[order]
+        rank = np.arange(len(q)) - np.searchsorted(q, q)
+        kept = rank < self.k
+        self.q, self.doc, self.score = q[kept], doc[kept], score[kept]
+        last = rank[kept] == self.k - 1
+        self.floor[self.q[last]] = np.round(self.score[last], 9)
+
+
+def spread(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of ranges one after the other, each with the place of its range."""
+    which = np.repeat(np.arange(len(size)), size)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + start[which]
+
+
+def block_search(index: LexicalIndex, terms: pd.DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """``qid, doc_idx, score``: the best ``k`` of each task for the questions of ``terms`` (qid, term, w, mean)."""
+    question, qids = pd.factorize(terms["qid"])
+    term, vocabulary = pd.factorize(terms["term"])
+    order = np.argsort(term, kind="stable")
+    mean = terms["mean"].iloc[0] if len(terms) else 1.0
+    context = index.counts.sparkSession.sparkContext
+    shared = context.broadcast((np.asarray(qids), question[order], term[order], terms["w"].to_numpy()[order], pa.array(vocabulary, pa.string()), mean))
+    kinds = dict(index.counts.dtypes)
+    qid_kind = "long" if pd.api.types.is_integer_dtype(terms["qid"]) else "string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, question, term, weight, vocabulary, mean = shared.value
+        search = BlockSearch(question, term, weight, len(names), k)
+        for batch in batches:
+            terms = batch.column(2)
+            held = pc.index_in(terms.flatten().field(0), value_set=vocabulary).fill_null(-1).to_numpy()
+            tf = terms.flatten().field(1).to_numpy()
+            owner = np.repeat(np.arange(len(batch)), pc.list_value_length(terms).to_numpy())
+            wanted = np.flatnonzero(held >= 0)
+            held, tf, owner = held[wanted], tf[wanted], owner[wanted]
+            doc, dl = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            impact = tf / (tf + k1 * (1 - b + b * dl[owner] / mean) + 1e-9)
+            for start in range(0, len(doc), BLOCK):
+                i, j = np.searchsorted(owner, (start, start + BLOCK))
+                if i < j:
+                    search.add(doc[start : start + BLOCK], owner[i:j] - start, held[i:j], impact[i:j])
+        yield pa.RecordBatch.from_arrays([pa.array(names[search.q].tolist(), qid_type), pa.array(search.doc, pa.int64()), pa.array(search.score)], ["qid", "doc_idx", "score"])
+
+    qid_type = pa.int64() if qid_kind == "long" else pa.string()
+    found = index.counts.select("doc_idx", "dl", "terms").mapInArrow(run, f"qid {qid_kind}, doc_idx long, score double")
+    return found.withColumn("doc_idx", F.col("doc_idx").cast(kinds["doc_idx"]))
+
+
 def search(index: LexicalIndex, weights: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` documents of each question, padded with zero scores: ``qid, rank, doc_idx, score``."""
-    scored = score_terms(index, weights)
-    best = top_k(scored, k).drop("rank")
+    """The best ``k`` documents of each question, padded with zero scores: ``qid, rank, doc_idx, score``.
+
+    The questions' terms are the small side.  Up to ``QUESTION_TERMS`` of them (and ``QUESTIONS``)
+    are broadcast at once; more are searched in groups of questions.
+    """
+    terms = term_weights(index, weights)
+    some = terms.limit(QUESTION_TERMS + 1).toPandas()
+    if len(some) <= QUESTION_TERMS and some["qid"].nunique() <= QUESTIONS:
+        best = block_search(index, some, k)
+    else:
+        terms = stored(terms, "terms")
+        size = terms.agg(F.count("*").alias("n"), F.countDistinct("qid").alias("questions")).first()
+        groups = max(-(-2 * size["n"] // QUESTION_TERMS), -(-2 * size["questions"] // QUESTIONS))
+        best = None
+        for group in range(groups):
+            found = block_search(index, terms.where(F.pmod(F.xxhash64("qid"), F.lit(groups)) == group).toPandas(), k)
+            best = found if best is None else best.unionByName(found)
     return top_k(pad_with_zeros(best, queries, index.docs, k), k)
 
 

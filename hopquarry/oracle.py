@@ -103,7 +103,34 @@ def page_rank(name: str, over: str, seeds: str, k: int = 10, alpha: float = 0.15
     for i in range(rounds):
         CTES[f"{name}_r{i + 1}"] = f"""SELECT qid, node, sum(v) AS v FROM (SELECT r.qid, e.dst AS node, (1 - {alpha}) * r.v * e.p AS v FROM {name}_r{i} r JOIN {over}_edges e ON r.node = e.src
             UNION ALL SELECT qid, node, {alpha} * s FROM {seeds}) GROUP BY ALL"""
-    CTES[f"{name}_docs"] = f"SELECT qid, node AS doc_idx, v AS score FROM {name}_r{rounds} WHERE node >= 0"
+    ranked_documents(name, f"{name}_r{rounds}", seeds, k)
+
+
+def converging_page_rank(name: str, over: str, seeds: str, tol: float, k: int = 10, rounds: int = 5) -> None:
+    """The same, but each question stops at its first round that moves the vector by less than ``tol``."""
+    page_rank(name, over, seeds, k, rounds=rounds)
+    for i in range(1, rounds + 1):
+        CTES[f"{name}_m{i}"] = f"""SELECT qid, {i} AS round, sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0))) AS moved FROM {name}_r{i} a FULL JOIN {name}_r{i - 1} b USING (qid, node) GROUP BY qid"""
+    moves = " UNION ALL ".join(f"SELECT * FROM {name}_m{i}" for i in range(1, rounds + 1))
+    CTES[f"{name}_stop"] = f"SELECT qid, coalesce(min(round) FILTER (moved < {tol}), {rounds}) AS round FROM ({moves}) GROUP BY qid"
+    CTES[f"{name}_all"] = " UNION ALL ".join(f"SELECT qid, node, v FROM {name}_r{i} SEMI JOIN (SELECT qid FROM {name}_stop WHERE round = {i}) USING (qid)" for i in range(1, rounds + 1))
+    ranked_documents(name, f"{name}_all", seeds, k)
+
+
+def pushed(name: str, over: str, seeds: str, eps: float, k: int = 10, alpha: float = 0.15, rounds: int = 80) -> None:
+    """Estimates by pushes in rounds; rounds without a rest above ``eps`` change nothing."""
+    CTES[f"{name}_p0"] = f"SELECT qid, node, CAST(0 AS DOUBLE) AS v, CAST(s AS DOUBLE) AS rest FROM {seeds}"
+    for i in range(rounds):
+        at = f"{name}_p{i}"
+        CTES[f"{name}_p{i + 1}"] = f"""SELECT qid, node, sum(v) AS v, sum(rest) AS rest FROM (
+            SELECT qid, node, v + CASE WHEN rest > {eps} THEN {alpha} * rest ELSE 0 END AS v, CASE WHEN rest > {eps} THEN 0 ELSE rest END AS rest FROM {at}
+            UNION ALL SELECT qid, e.dst, 0, (1 - {alpha}) * rest * e.p FROM {at} JOIN {over}_edges e ON node = e.src WHERE rest > {eps}) GROUP BY ALL"""
+    CTES[f"{name}_end"] = f"SELECT qid, node, v FROM {name}_p{rounds} WHERE v > 0"
+    ranked_documents(name, f"{name}_end", seeds, k)
+
+
+def ranked_documents(name: str, vectors: str, seeds: str, k: int) -> None:
+    CTES[f"{name}_docs"] = f"SELECT qid, node AS doc_idx, v AS score FROM {vectors} WHERE node >= 0"
     CTES[f"{name}_seeded"] = f"SELECT DISTINCT qid FROM {seeds} JOIN qs USING (qid)"
     padded(f"{name}_top", f"{name}_docs", f"{name}_seeded", k)
     CTES[name] = f"""SELECT qid, doc_idx, score, rank FROM {name}_top UNION ALL SELECT qid, doc_idx, 1.0 / (SELECT count(*) FROM docs), row_number() OVER (PARTITION BY qid ORDER BY doc_idx)
@@ -116,6 +143,13 @@ def fused(name: str, first: str, second: str) -> None:
     CTES[name] = f"SELECT * FROM (SELECT qid, doc_idx, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, f) AS rank FROM {name}_scores) WHERE rank <= 10"
 
 
+def reranked(name: str, candidates: str, k: int = 10) -> None:
+    """Candidates by the share of the question's words that the text has; ties keep their rank."""
+    CTES[name] = f"""SELECT * FROM (SELECT qid, doc_idx, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, before) AS rank FROM (
+        SELECT qid, doc_idx, c.rank AS before, len(list_intersect(w, string_split(lower(text), ' '))) / greatest(len(w), 1) AS score FROM {candidates} c JOIN docs USING (doc_idx)
+        JOIN (SELECT qid, list_filter(list_distinct(string_split(lower(question), ' ')), lambda x: x <> '') AS w FROM qs) USING (qid))) WHERE rank <= {k}"""
+
+
 def scores(name: str, hits: str, gold: str = "gold", ks: tuple[int, ...] = (1, 3, 5, 10), cut: int | None = None) -> None:
     """Per question with gold: rr, hit_k and recall_k."""
     columns = ", ".join(f"CAST(count(*) FILTER (rank <= {k}) > 0 AS DOUBLE) AS hit_{k}, count(*) FILTER (rank <= {k}) / count(*) AS recall_{k}" for k in ks)
@@ -170,6 +204,13 @@ page_rank("m_dense", "g", "s_dense")
 CTES["m_fusion"] = """SELECT * FROM (SELECT qid, doc_idx, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, f) AS rank FROM (SELECT qid, doc_idx, sum(score) AS score, min(f) AS f FROM (
     SELECT qid, doc_idx, score / max(score) OVER (PARTITION BY qid) AS score, (0, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, f)) AS f FROM rrf_scores
     UNION ALL SELECT qid, doc_idx, CASE WHEN max(score) OVER (PARTITION BY qid) > 0 THEN score / max(score) OVER (PARTITION BY qid) ELSE score END, (1, rank) FROM m_graph) GROUP BY ALL)) WHERE rank <= 10"""
+converging_page_rank("m_tol", "g", "s_ent", 1e-4)
+converging_page_rank("m_tol_early", "g", "s_ent", 0.4)
+pushed("m_push", "g", "s_ent", 1e-4)
+bm25("hits100", "qw", 100)
+CTES["rrf100"] = "SELECT * FROM (SELECT qid, doc_idx, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, f) AS rank FROM rrf_scores) WHERE rank <= 100"
+reranked("rerank", "hits100")
+reranked("rrf_rerank", "rrf100")
 scores("sc", "hits")
 scores("sc_rm3", "rm3")
 scores("sc10", "hits", ks=(10,), cut=10)

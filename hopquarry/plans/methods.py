@@ -144,8 +144,12 @@ class Engine:
 
     def page_rank(self, over: graph.Graph, seeds: DataFrame, k: int | None = None) -> DataFrame:
         s = self.settings
-        if s.backend == "kernel" or s.mode == "push" or s.tol is not None:
+        if s.backend == "kernel":
             r = ppr.kernel(over.edges, seeds, s.alpha, s.max_iter, s.tol, s.mode, s.push_eps, s.push_max_steps, keep=k or self.k)
+        elif s.mode == "push":
+            r = ppr.forward_push(over.edges, seeds, s.alpha, s.push_eps, s.push_max_steps)
+        elif s.tol is not None:
+            r = ppr.converging_iteration(over.edges, seeds, s.alpha, s.max_iter, s.tol)
         else:
             r = ppr.power_iteration(over.edges, seeds, s.alpha, s.max_iter)
         return ppr.ranked_documents(r, over, self.corpus.queries, seeds, k or self.k)

@@ -277,7 +277,7 @@ for _mode in ppr.MIX_MODES:
     _mix_query(_mode)
 
 
-@query()
+@query(hits_sql("m_push"))
 def p8_push(spark, sf_dir):
     return shown(methods.METHODS["graph"](engine(spark, sf_dir, mode="push")))
 
@@ -287,11 +287,16 @@ def p7_kernel(spark, sf_dir):
     return shown(methods.METHODS["graph"](engine(spark, sf_dir, backend="kernel")))
 
 
-@query()
+@query(hits_sql("m_tol"))
 def p7_tolerance(spark, sf_dir):
     return shown(methods.METHODS["graph"](engine(spark, sf_dir, tol=1e-4)))
 
 
+@query(hits_sql("m_tol_early"))
+def p7_tolerance_early(spark, sf_dir):
+    return shown(methods.METHODS["graph"](engine(spark, sf_dir, tol=0.4)))
+
+
 # methods
 
 
@@ -307,7 +312,7 @@ def _method_query(name: str, method: str, cte: str | None):
 
 for _name, _method, _cte in (
     ("m1_bm25", "bm25", "hits"), ("m2_rm3", "rm3", "rm3"), ("m3_bm25_2step", "bm25_2step", "step"), ("m4_dense", "dense", "dense"),
-    ("m5_rrf", "rrf", "rrf"), ("m6_rerank", "rerank", None), ("m7_rrf_rerank", "rrf_rerank", None), ("m8_graph", "graph", "m_graph"),
+    ("m5_rrf", "rrf", "rrf"), ("m6_rerank", "rerank", "rerank"), ("m7_rrf_rerank", "rrf_rerank", "rrf_rerank"), ("m8_graph", "graph", "m_graph"),
     ("m9_graph_bm25_fallback", "graph_bm25_fallback", "m_fallback"), ("m10_tfidf_graph", "tfidf_graph", "m_term"),
     ("m11_graph_hybrid", "graph_hybrid", "m_hybrid"), ("m12_graph_rrf", "graph_rrf", "m_rrf"), ("m13_rrf_ppr_fusion", "rrf_ppr_fusion", "m_fusion"),
     ("m14_graph_dense", "graph_dense", "m_dense"),

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopquarry.functions import text, vectors
+from hopquarry.functions.ranking import top_k
 from hopquarry.operators import analysis, dense, fusion, graph, lexical, linking, metrics, ppr
 from hopquarry.plans import experiment, methods
 from hopquarry.sources import corpus, runs
@@ -75,6 +76,45 @@ def test_bm25(spark):
     assert [(r.doc_idx, r.score) for r in rows if r.qid == 1] == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_search_equals_plain_scores(spark, monkeypatch):
+    """Blocks, groups of questions and skipped blocks give the rows that all scores give."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("abcdefghijklmnop", k=rng.randint(0, 12))) for _ in range(150)] + ["zz yy"] * 4
+    e = engine_of(spark, texts, ["a b c q", "p o n", "zz", "nothing here", "a a a"], top_ks=(7,))
+    weights = lexical.query_terms(e.corpus.queries)
+    top = [(r.qid, r.rank, r.doc_idx, round(r.score, 9)) for r in top_k(lexical.score_terms(e.index, weights), 7).collect()]
+    for block, terms in ((3, 500_000), (64, 4)):
+        monkeypatch.setattr(lexical, "BLOCK", block)
+        monkeypatch.setattr(lexical, "QUESTION_TERMS", terms)
+        got = [(r.qid, r.rank, r.doc_idx, round(r.score, 9)) for r in lexical.search(e.index, weights, e.corpus.queries, 7).collect()]
+        assert sorted(r for r in got if r[3] > 0) == sorted(top)
+        assert len(got) == 35
+
+
+def test_blocks_below_the_best_are_skipped():
+    rng = np.random.default_rng(2)
+    n_docs, n_terms, block = 4000, 200, 50
+    # documents of a block share a topic
+    doc = np.repeat(np.arange(n_docs), 8)
+    term = np.unique(np.c_[doc, (doc // block * 3 + rng.integers(0, 6, len(doc))) % n_terms], axis=0)
+    doc, term = term[:, 0], term[:, 1]
+    impact = rng.random(len(doc))
+    question, asked = np.repeat(np.arange(10), 3), rng.integers(0, n_terms, 30)
+    order = np.argsort(asked, kind="stable")
+    weight = rng.random(30) - 0.1
+    search = lexical.BlockSearch(question[order], asked[order], weight[order], 10, 5)
+    for start in range(0, n_docs, block):
+        i, j = np.searchsorted(doc, (start, start + block))
+        search.add(np.arange(start, start + block), doc[i:j] - start, term[i:j], impact[i:j])
+    scores = np.zeros((10, n_docs))
+    for q, t, w in zip(question, asked, weight, strict=True):
+        np.add.at(scores[q], doc[term == t], w * impact[term == t])
+    for q in range(10):
+        best = np.lexsort((np.arange(n_docs), -np.round(scores[q], 9)))[:5]
+        assert search.doc[search.q == q].tolist() == best[scores[q][best] > 0].tolist()
+    assert search.seen > 1000 and search.skipped > search.seen / 4
+
+
 def test_two_step_and_rm3_run(spark):
     e = engine_of(spark, ["Alice met Bob", "Bob met Carol Danvers", "dog"], ["met"], top_ks=(2,))
     assert {r.doc_idx for r in methods.rm3(e).collect()} == {0, 1}
@@ -125,6 +165,23 @@ def test_push_approaches_power(spark):
     assert all(abs(power[d] - push[d]) < 1e-3 for d in power)
 
 
+def test_rounds_without_the_graph_in_a_worker(spark):
+    """Tolerance, pushes and bounded pushes as joins give what the kernel gives."""
+    rng = random.Random(7)
+    names = ["Ann", "Ben", "Cara", "Dan", "Eve", "Finn", "Gus", "Hal"]
+    texts = [". ".join(rng.choices(names, k=rng.randint(0, 4))) for _ in range(20)]
+    e = engine_of(spark, texts, ["Ann. Ben", "Eve", "Hal", "nobody"], top_ks=(6,), max_iter=6)
+    for changes in ({"tol": 0.25}, {"mode": "push", "push_eps": 2e-2}, {"mode": "push", "push_eps": 2e-2, "push_max_steps": 9}):
+        rows = [
+            {(r.qid, r.rank): (r.doc_idx, round(r.score, 9)) for r in methods.graph_method(methods.with_settings(e, backend=backend, **changes)).collect()}
+            for backend in ("relational", "kernel")
+        ]
+        assert rows[0] == rows[1]
+    edges = spark.createDataFrame([(-1, 0, 1.0), (0, -1, 1.0)], "src long, dst long, p double")
+    none = spark.createDataFrame([], "qid long, node long, s double")
+    assert ppr.forward_push(edges, none).collect() == [] == ppr.converging_iteration(edges, none).collect()
+
+
 def test_push_keeps_its_invariant():
     """Estimates plus the rank of what is left are the exact rank, so they are below it, by less than the rest."""
     import pandas as pd
