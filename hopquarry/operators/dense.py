@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import top_k
-from ..functions.vectors import dot, l2_normalize
+from ..functions.vectors import l2_normalize
+from ..storage import scratch
+from .vector_index import build_index
 
 #: Questions are sent to every task up to this many bytes; beyond, they are dealt in blocks.
 BROADCAST_BYTES = 64 << 20
@@ -63,48 +65,42 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, round_to: int =
 
 
 def _block_search(vectors: DataFrame, block: pd.DataFrame, k: int, round_to: int) -> DataFrame:
-    qids = block["qid"].to_numpy()
+    """Each task's best ``k`` rows of each question: one matrix product a batch, and one frame a batch."""
     q = np.array(block["vec"].tolist(), "f8").reshape(len(block), -1)
+    shared = vectors.sparkSession.sparkContext.broadcast((block["qid"].to_numpy(), q))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, q = shared.value
         for batch in batches:
             if not len(batch) or not len(qids):
                 continue
             scores = q @ np.array(batch["vec"].tolist(), "f8").T
             idx = batch["doc_idx"].to_numpy()
-            for row in range(len(qids)):
-                best = np.lexsort((idx, -np.round(scores[row], round_to)))[:k]
-                yield pd.DataFrame({"qid": qids[row], "doc_idx": idx[best], "score": scores[row, best]})
+            if len(idx) > k:
+                # all that are not below the k-th, so ties are decided by the number
+                order = np.round(scores, round_to)
+                floor = -np.partition(-order, k - 1, 1)[:, k - 1]
+                row, at = np.nonzero(order >= floor[:, None])
+                best = np.lexsort((idx[at], -order[row, at], row))
+                row, at = row[best], at[best]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, at = row[kept], at[kept]
+            else:
+                row, at = (c.ravel() for c in np.indices(scores.shape))
+            yield pd.DataFrame({"qid": qids[row], "doc_idx": idx[at], "score": scores[row, at]})
 
     kinds = dict(vectors.dtypes)
-    return vectors.select("doc_idx", "vec").mapInPandas(run, f"qid {'long' if qids.dtype.kind == 'i' else 'string'}, doc_idx {kinds['doc_idx']}, score double")
+    integer = block["qid"].dtype.kind == "i"
+    return vectors.select("doc_idx", "vec").mapInPandas(run, f"qid {'long' if integer else 'string'}, doc_idx {kinds['doc_idx']}, score double")
 
 
-def ann_search(vectors: DataFrame, queries: DataFrame, k: int, tables: int = 12, planes: int = 8, seed: int = 42, radius: int = 1) -> DataFrame:
-    """Best ``k`` among the documents whose signs at random planes agree in some table, reranked exactly.
+def ann_search(vectors: DataFrame, queries: DataFrame, k: int, recall: float = 0.97, path: str | None = None) -> DataFrame:
+    """Best ``k`` by an index of coded lists (see ``vector_index``), probed for this recall; it is built in ``path``, or in a folder of its own.
 
-    ``radius`` also visits buckets that differ in so many signs.  This is never a
-    silent stand-in for exact search: callers choose it.
+    This is never a silent stand-in for exact search: callers choose it.
     """
-    dim = vectors.select(F.size("vec")).first()[0]
-    normals = np.random.default_rng(seed).standard_normal((dim, tables * planes))
-
-    @F.pandas_udf("array<int>")
-    def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            signs = np.array(batch.tolist(), "f8").reshape(len(batch), dim) @ normals > 0
-            yield pd.Series(list((signs.reshape(-1, tables, planes) << np.arange(planes)).sum(2).astype("i4")))
-
-    def keys(rows: DataFrame, key: str, near: bool) -> DataFrame:
-        coded = rows.select(key, F.posexplode(codes(F.col("vec"))).alias("table", "code"))
-        if not (near and radius):
-            return coded
-        flips = F.array(F.lit(0), *[F.lit(1 << p) for p in range(planes)])
-        return coded.select(key, "table", "code", F.explode(flips).alias("flip")).select(key, "table", F.col("code").bitwiseXOR(F.col("flip")).alias("code"))
-
-    pairs = keys(vectors, "doc_idx", False).join(keys(queries, "qid", True), ["table", "code"]).select("qid", "doc_idx").distinct()
-    scored = pairs.join(vectors.select("doc_idx", F.col("vec").alias("a")), "doc_idx").join(queries.select("qid", F.col("vec").alias("b")), "qid")
-    return top_k(scored.select("qid", "doc_idx", dot(F.col("a"), F.col("b")).alias("score")), k)
+    index = build_index(vectors, path or scratch(vectors.sparkSession, "ann"), k, recall, queries)
+    return index.search(queries, k)
 
 
 def rerank(candidates: DataFrame, docs: DataFrame, queries: DataFrame, scorer: Callable[[list[str], list[str]], list[float]], k: int) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from .functions import text, vectors
 from .operators import analysis, dense, fusion, graph, lexical, linking, metrics, ppr
 from .oracle import _entities, _simple, hits_sql, sql
+from .operators.vector_index import VectorIndex, build_index
 from .plans import methods
 from .sources.corpus import read_tables, sample_queries
+from .storage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -158,6 +160,14 @@ def d4_ann_search(spark, sf_dir):
     return shown(dense.ann_search(e.doc_vectors, e.query_vectors, 10))
 
 
+@query()
+def s14_stored_index(spark, sf_dir):
+    """The index of all vectors, written, opened again and searched."""
+    e, path = engine(spark, sf_dir), scratch(spark, "index")
+    build_index(e.doc_vectors, path)
+    return shown(VectorIndex.open(spark, path).search(e.query_vectors, 10))
+
+
 @query()
 def d1_encoded_search(spark, sf_dir):
     e = engine(spark, sf_dir)

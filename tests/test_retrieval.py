@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hopquarry.functions import text, vectors
 from hopquarry.functions.ranking import top_k
-from hopquarry.operators import analysis, dense, fusion, graph, lexical, linking, metrics, ppr
+from hopquarry.operators import analysis, dense, fusion, graph, lexical, linking, metrics, ppr, vector_index
 from hopquarry.plans import experiment, methods
 from hopquarry.sources import corpus, runs
 
@@ -201,6 +201,39 @@ def test_push_keeps_its_invariant():
     assert ppr._push(g, s, 0.15, 1e-4, 2).nonzero()[0].tolist() == [3, 17]
 
 
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_vector_index_is_stored_and_reaches_its_recall(spark, tmp_path, kind):
+    """Built once and opened again: 0.95 of the exact answers to other questions, with under a tenth of the rows reranked."""
+    rng = np.random.default_rng(5)
+    n, dim, k = 6000, 32, 10
+    x = rng.standard_normal((n + 100, dim))
+    if kind == "clusters":
+        x = rng.standard_normal((60, dim))[rng.integers(0, 60, n + 100)] + 0.4 * x
+    rows, asked = x[:n], x[n:]
+    frame = lambda a, name: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)], f"{name} long, vec array<double>")
+    built = vector_index.build_index(frame(rows, "doc_idx").repartition(3), str(tmp_path / "index"), k)
+    index = vector_index.VectorIndex.open(spark, str(tmp_path / "index"))
+    assert (index.codes.probes, index.codes.depth) == (built.codes.probes, built.codes.depth)
+    assert index.codes.depth <= n / 10
+    if kind == "clusters":
+        assert index.codes.probes < len(index.codes.centres) / 3
+    got = {(r.qid, r.doc_idx): r.score for r in index.search(frame(asked, "qid"), k).collect()}
+    truth = np.argsort(-(asked @ rows.T), 1)[:, :k]
+    found = sum((q, int(d)) in got for q in range(100) for d in truth[q])
+    assert len(got) == 100 * k and found >= 0.95 * 100 * k
+    assert all(abs(s - asked[q] @ rows[d]) < 1e-9 for (q, d), s in got.items())
+
+
+def test_vector_index_of_few_rows(spark, tmp_path):
+    none = spark.createDataFrame([], "doc_idx long, vec array<double>")
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "qid string, vec array<double>")
+    index = vector_index.build_index(none, str(tmp_path / "none"))
+    assert index.search(asked, 3).collect() == [] == vector_index.VectorIndex.open(spark, str(tmp_path / "none")).search(asked, 3).collect()
+    some = spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 2.0]), (9, None)], "doc_idx long, vec array<double>")
+    found = vector_index.build_index(some, str(tmp_path / "some"), k=1).search(asked, 1)
+    assert sorted((r.qid, r.doc_idx, r.score) for r in found.collect()) == [("a", 7, 1.0), ("b", 8, 2.0)]
+
+
 @pytest.mark.parametrize("name", ["mode", "backend", "norm", "term_norm", "seed_weighting", "seed_mix_mode", "entity_normalize"])
 def test_unknown_settings_raise(name):
     with pytest.raises(ValueError, match=name):
