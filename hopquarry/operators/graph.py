@@ -6,6 +6,7 @@ where entities are numbered in order of their first mention.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.text import extract_entities, tokenize
 from ..storage import stored
 from .linking import apply_alias_map
+from .tagging import Tagger, tagged_entities
 
 NORMALIZATIONS = ("row", "sym", "none")
 
@@ -28,9 +30,10 @@ class Graph:
     pairs: DataFrame
 
 
-def mentions(docs: DataFrame, aliases: DataFrame | None = None, mode: str = "none", min_len: int = 2) -> DataFrame:
-    """``doc_idx, entity, tf, pos``: how often a document mentions an entity, and where first."""
-    found = docs.select("doc_idx", F.posexplode(extract_entities(F.col("text"), dedup=False)).alias("pos", "entity"))
+def mentions(docs: DataFrame, aliases: DataFrame | None = None, mode: str = "none", min_len: int = 2, ner: Callable[[], Tagger] | None = None) -> DataFrame:
+    """``doc_idx, entity, tf, pos``: how often a document mentions an entity, and where first; ``ner`` loads a tagger."""
+    names = extract_entities(F.col("text"), dedup=False) if ner is None else tagged_entities(F.col("text"), ner, dedup=False)
+    found = docs.select("doc_idx", F.posexplode(names).alias("pos", "entity"))
     linked = apply_alias_map(found, aliases, mode).where(F.char_length("entity") >= min_len)
     return linked.groupBy("doc_idx", "entity").agg(F.count("*").alias("tf"), F.min("pos").alias("pos"))
 
@@ -105,10 +108,10 @@ def transition(pairs: DataFrame, normalization: str = "row") -> DataFrame:
 
 def build_graph(
     docs: DataFrame, aliases: DataFrame | None = None, mode: str = "none", min_len: int = 2, min_df: int = 1, max_df_ratio: float = 1.0,
-    hub_penalty: float = 0.0, hub_top_ratio: float = 0.0, edge_cap: int | None = None, normalization: str = "row",
+    hub_penalty: float = 0.0, hub_top_ratio: float = 0.0, edge_cap: int | None = None, normalization: str = "row", ner: Callable[[], Tagger] | None = None,
 ) -> Graph:
     """Mentions, entities and edges are stored: texts are read once, and rounds of a walk join tables."""
-    found = stored(mentions(docs, aliases, mode, min_len), "mentions")
+    found = stored(mentions(docs, aliases, mode, min_len, ner), "mentions")
     entities = stored(entity_table(found, docs, min_df, max_df_ratio, hub_top_ratio), "entities")
     pairs = weighted_pairs(found, entities, docs, hub_penalty, edge_cap)
     return Graph(entities, stored(transition(pairs, normalization), "edges"), docs.select("doc_idx"), pairs)

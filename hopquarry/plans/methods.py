@@ -91,6 +91,8 @@ class Engine:
     doc_vectors: DataFrame | None = None
     query_vectors: DataFrame | None = None
     scorer: Callable = dense.overlap_scorer
+    #: Loads a tagger; without it, entities are found by the pattern.
+    ner: Callable | None = None
 
     @property
     def k(self) -> int:
@@ -109,7 +111,7 @@ class Engine:
         s = self.settings
         return graph.build_graph(
             self.corpus.docs, self.aliases, s.entity_normalize, min_df=s.min_df, max_df_ratio=s.max_df_ratio, hub_penalty=s.hub_penalty,
-            hub_top_ratio=s.hub_top_ratio, edge_cap=s.edge_cap, normalization=s.norm,
+            hub_top_ratio=s.hub_top_ratio, edge_cap=s.edge_cap, normalization=s.norm, ner=self.ner,
         )
 
     @cached_property
@@ -139,7 +141,7 @@ class Engine:
 
     @cached_property
     def entity_seeds(self) -> DataFrame:
-        found = ppr.question_entities(self.corpus.queries, self.aliases, self.settings.entity_normalize)
+        found = ppr.question_entities(self.corpus.queries, self.aliases, self.settings.entity_normalize, self.ner)
         return ppr.entity_seeds(found, self.graph.entities, self.settings.seed_entity_df_power)
 
     def page_rank(self, over: graph.Graph, seeds: DataFrame, k: int | None = None) -> DataFrame:
@@ -207,14 +209,14 @@ def graph_method(e: Engine) -> DataFrame:
 def fallback_queries(e: Engine) -> DataFrame:
     """Questions without any extracted entity."""
     mode = "none" if e.settings.compat_fallback else e.settings.entity_normalize
-    found = ppr.question_entities(e.corpus.queries, e.aliases, mode)
+    found = ppr.question_entities(e.corpus.queries, e.aliases, mode, e.ner)
     return e.corpus.queries.select("qid").join(found.select("qid").distinct(), "qid", "left_anti")
 
 
 def graph_bm25_fallback(e: Engine) -> DataFrame:
     s = e.settings
     hits = e.bm25_hits().where(F.col("rank") <= max(1, s.fallback_k)).join(fallback_queries(e), "qid", "left_semi")
-    found = ppr.question_entities(e.corpus.queries, e.aliases, "none" if s.compat_fallback else s.entity_normalize)
+    found = ppr.question_entities(e.corpus.queries, e.aliases, "none" if s.compat_fallback else s.entity_normalize, e.ner)
     entity = ppr.entity_seeds(found, e.graph.entities, s.seed_entity_df_power)
     seeds = ppr.mix_seeds(entity, ppr.doc_seeds(hits, s.seed_weighting, s.seed_temp), s.seed_mix_mode, s.seed_mix_alpha)
     return e.page_rank(e.graph, seeds)
@@ -269,7 +271,7 @@ def retrieve(engine: Engine, methods: list[str]) -> DataFrame:
 
 def with_settings(engine: Engine, **changes) -> Engine:
     """The same corpus and models with other settings; what does not depend on the changed ones is kept."""
-    out = Engine(engine.corpus, replace(engine.settings, **changes), engine.doc_vectors, engine.query_vectors, engine.scorer)
+    out = Engine(engine.corpus, replace(engine.settings, **changes), engine.doc_vectors, engine.query_vectors, engine.scorer, engine.ner)
     kept = {"index": (), "_bm25": (), "aliases": ("use_aliases",), "graph": GRAPH_SETTINGS, "term_graph": TERM_GRAPH_SETTINGS}
     for name, needs in kept.items():
         if name in engine.__dict__ and not set(needs) & set(changes):

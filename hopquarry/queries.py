@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text, vectors
-from .operators import analysis, dense, fusion, graph, lexical, linking, metrics, ppr
+from .operators import analysis, dense, embedding_cache, fusion, graph, lexical, linking, metrics, ppr, qa, tagging
 from .oracle import _entities, _simple, hits_sql, sql
 from .operators.vector_index import VectorIndex, build_index
 from .plans import methods
+from .sources import runs
 from .sources.corpus import read_tables, sample_queries
 from .storage import scratch
 
@@ -103,6 +104,77 @@ def t12_context(spark, sf_dir):
     return rows.groupBy("qid").agg(F.substring(F.array_join(texts, "\n"), 1, 4000).alias("context"))
 
 
+ANSWERS = f"SELECT qid, question, {_entities('question')}[1] AS gold FROM qs WHERE len({_entities('question')}) > 0"
+
+
+@query(sql(f"""SELECT method, avg(em) AS em, round(avg(f1), 6) AS f1, count(*) AS n FROM (
+    SELECT method, qid, CAST(p = g AS DOUBLE) AS em, CASE WHEN len(pw) = 0 AND len(gw) = 0 THEN 1.0
+        ELSE coalesce(2.0 * list_sum(list_transform(list_distinct(pw), lambda x: least(len(list_filter(pw, lambda y: y = x)), len(list_filter(gw, lambda y: y = x))))) / (len(pw) + len(gw)), 0) END AS f1
+    FROM (SELECT method, qid, {NORM.format('pred')} AS p, {NORM.format('gold')} AS g, list_filter(string_split({NORM.format('pred')}, ' '), lambda w: w <> '') AS pw,
+        list_filter(string_split({NORM.format('gold')}, ' '), lambda w: w <> '') AS gw
+    FROM (SELECT method, a.qid, gold, coalesce(pred, '') AS pred FROM ({ANSWERS}) a CROSS JOIN (VALUES ('bm25'), ('rm3')) m(method) LEFT JOIN (
+        SELECT method, qid, arg_min(pred, (-score, place)) AS pred FROM (
+            SELECT method, qid, place, coalesce({_entities('w')}[1], '') AS pred, CASE WHEN len({_entities('w')}) = 0 THEN -1
+                ELSE len(list_intersect(qw, list_distinct(string_split_regex(lower(w), '[ \n]+')))) / greatest(len(qw), 1) END AS score
+            FROM (SELECT method, qid, place, substr(context, place * 750 + 1, 1000) AS w, list_filter(list_distinct(string_split(lower(question), ' ')), lambda x: x <> '') AS qw
+                FROM (SELECT method, qid, question, context, unnest(range(0, CAST(greatest(0, ceil((length(context) - 1000) / 750.0)) AS BIGINT) + 1)) AS place
+                    FROM (SELECT method, h.qid, substr(string_agg(substr(text, 1, 4000), chr(10) ORDER BY rank), 1, 4000) AS context
+                        FROM (SELECT 'bm25' AS method, qid, doc_idx, rank FROM hits UNION ALL SELECT 'rm3', qid, doc_idx, rank FROM rm3) h JOIN docs USING (doc_idx)
+                        WHERE rank <= 5 AND text <> '' GROUP BY ALL) JOIN qs USING (qid)))) GROUP BY ALL) r USING (method, qid))))
+    GROUP BY method"""))
+def e11_qa_eval(spark, sf_dir):
+    """Stand-ins: the first entity of a question is its answer, and ``entity_reader`` reads."""
+    e = engine(spark, sf_dir)
+    answers = e.corpus.queries.select("qid", F.get(text.extract_entities(F.col("question")), F.lit(0)).alias("answer"))
+    scored = qa.evaluate_answers(lexical_runs(e), e.corpus.docs, e.corpus.queries, answers, qa.entity_reader, names(e))
+    return qa.answer_means(scored).select("method", "em", F.round("f1", 6).alias("f1"), "n")
+
+
+# taggers
+
+
+@query(sql(f"""SELECT doc_idx, row_number() OVER (PARTITION BY doc_idx ORDER BY min(pos)) - 1 AS place, entity FROM (
+    SELECT doc_idx, pos, {_simple('entity')} AS entity FROM ment_raw WHERE length(entity) % 5 <> 0) WHERE entity <> '' GROUP BY doc_idx, entity"""))
+def t5_tagged_entities(spark, sf_dir):
+    docs = read_tables(spark, sf_dir).docs
+    found = docs.select("doc_idx", F.posexplode(tagging.tagged_entities(F.col("text"), tagging.pattern_tagger, "simple")).alias("place", "entity"))
+    return found.select("doc_idx", F.col("place").cast("long").alias("place"), "entity")
+
+
+@query(sql("SELECT doc_idx, entity, count(*) AS tf FROM ment_raw WHERE length(entity) >= 2 AND length(entity) % 5 <> 0 GROUP BY ALL"))
+def g1b_tagged_mentions(spark, sf_dir):
+    return graph.mentions(read_tables(spark, sf_dir).docs, ner=tagging.pattern_tagger).select("doc_idx", "entity", "tf")
+
+
+# the content key and the cache
+
+
+T14 = """SELECT substr(sha256('model' || chr(31) || CASE WHEN count(*) = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY bucket)) END), 1, 16) AS key FROM (
+    SELECT place // 1000 AS bucket, sha256(string_agg(digest, '' ORDER BY place)) AS digest
+    FROM (SELECT doc_idx - (SELECT min(doc_idx) FROM docs) AS place, sha256(doc_id || chr(31) || text) AS digest FROM docs) GROUP BY bucket)"""
+
+
+@query(sql(T14))
+def t14_content_key(spark, sf_dir):
+    """One key for all documents in order; the SQL has two levels of the tree, enough for a million documents."""
+    return spark.createDataFrame([(runs.content_key("model", read_tables(spark, sf_dir).docs),)], "key string")
+
+
+@query(sql("SELECT count(*) AS docs, CAST(count(DISTINCT text) AS BIGINT) AS texts, true AS same FROM docs"))
+def s13_embedding_cache(spark, sf_dir):
+    """All documents encoded into a new cache, and read from it again with an encoder that would fail."""
+    docs, path = read_tables(spark, sf_dir).docs, scratch(spark, "cache")
+    first = embedding_cache.cached_encode(docs, dense.hashing_encoder(), "hashed words", path).select("doc_idx", "vec")
+
+    def none_left(texts: list[str]):
+        raise AssertionError("a text was encoded again")
+
+    again = embedding_cache.cached_encode(docs, none_left, "hashed words", path).select("doc_idx", F.col("vec").alias("again"))
+    held = embedding_cache.cached_vectors(spark, path, "hashed words").agg(F.count("*").alias("texts"))
+    same = first.join(again, "doc_idx").agg(F.count("*").alias("docs"), F.bool_and(F.col("vec") == F.col("again")).alias("same"))
+    return same.crossJoin(F.broadcast(held)).select("docs", "texts", "same")
+
+
 # linking
 
 
@@ -160,12 +232,13 @@ def d4_ann_search(spark, sf_dir):
     return shown(dense.ann_search(e.doc_vectors, e.query_vectors, 10))
 
 
-@query()
+@query(hits_sql("dense"))
 def s14_stored_index(spark, sf_dir):
-    """The index of all vectors, written, opened again and searched."""
+    """The index of all vectors, written, opened again and searched: in all lists and with a thousand candidates, so answers are the exact ones."""
     e, path = engine(spark, sf_dir), scratch(spark, "index")
     build_index(e.doc_vectors, path)
-    return shown(VectorIndex.open(spark, path).search(e.query_vectors, 10))
+    index = VectorIndex.open(spark, path)
+    return shown(index.search(e.query_vectors, 10, probes=len(index.codes.centres), depth=1000))
 
 
 @query()

@@ -17,6 +17,9 @@ RESULT = (
     "ppr_time_sec:double,fallback_count:long,fallback_rate:double>"
 )
 CONFIG = "struct<dataset:string,split:string,max_samples:long,tag:string,seed:long>"
+#: Digests of one node of a tree of hashes.
+FAN = 1000
+SEPARATOR = "\x1f"
 METRICS = f"config {CONFIG}, results array<{RESULT}>"
 
 
@@ -30,11 +33,32 @@ def output_name(*parts: str, limit: int = 200) -> str:
     return slug if len(slug) <= limit else f"{slug[:180]}_{hashlib.md5(slug.encode()).hexdigest()[:8]}"
 
 
+def ordered_digest(rows: DataFrame) -> str:
+    """A digest of ``rows`` (at, digest) in order of ``at``: a tree of hashes over ranges of places.
+
+    The places' range is cut in ``FAN`` equal parts a level, so for numbered rows no task holds more than
+    ``FAN`` digests at once; equal places are in order of their digests.
+    """
+    span = rows.agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("n")).first()
+    if not span["n"]:
+        return hashlib.sha256(b"").hexdigest()
+    # places are scaled to as many buckets as there are rows
+    width = max(1, -(-(span["high"] - span["low"] + 1) // span["n"]))
+    level = rows.select(F.expr(f"(at - {span['low']}) div {width}").alias("at"), "digest")
+    size = (span["high"] - span["low"]) // width + 1
+    while True:
+        bucket = F.expr(f"at div {FAN}").alias("bucket")
+        ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])
+        level = level.groupBy(bucket).agg(F.sha2(F.concat_ws("", ordered), 256).alias("digest")).select(F.col("bucket").alias("at"), "digest")
+        size = -(-size // FAN)
+        if size <= 1:
+            return level.first()["digest"]
+
+
 def content_key(model: str, docs: DataFrame) -> str:
-    """A digest of the model and all documents in order: hashes of rows, then of their sorted list by range."""
-    rows = docs.select(F.sha2(F.concat_ws("\0", F.col("doc_idx").cast("string"), "doc_id", "text"), 256).alias("h"))
-    total = rows.agg(F.count("*").alias("n"), F.bit_xor(F.conv(F.substring("h", 1, 15), 16, 10).cast("long")).alias("x"), F.sum(F.conv(F.substring("h", 16, 10), 16, 10).cast("decimal(38,0)")).alias("s")).first()
-    return hashlib.sha256(f"{model}|{total['n']}|{total['x']}|{total['s']}".encode()).hexdigest()[:16]
+    """A digest of the model and of all documents in order."""
+    rows = docs.select(F.col("doc_idx").cast("long").alias("at"), F.sha2(F.concat_ws(SEPARATOR, "doc_id", "text"), 256).alias("digest"))
+    return hashlib.sha256(f"{model}{SEPARATOR}{ordered_digest(rows)}".encode()).hexdigest()[:16]
 
 
 def write_corpus(docs: DataFrame, queries: DataFrame, path: str) -> None:

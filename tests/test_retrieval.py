@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hopquarry.functions import text, vectors
 from hopquarry.functions.ranking import top_k
-from hopquarry.operators import analysis, dense, fusion, graph, lexical, linking, metrics, ppr, vector_index
+from hopquarry.operators import analysis, dense, embedding_cache, fusion, graph, lexical, linking, metrics, ppr, qa, tagging, vector_index
 from hopquarry.plans import experiment, methods
 from hopquarry.sources import corpus, runs
 
@@ -201,6 +201,99 @@ def test_push_keeps_its_invariant():
     assert ppr._push(g, s, 0.15, 1e-4, 2).nonzero()[0].tolist() == [3, 17]
 
 
+def brute_answers(contexts, size, stride, reader, questions):
+    out = {}
+    for key, context in contexts.items():
+        starts = [0]
+        while starts[-1] + size < len(context):
+            starts.append(starts[-1] + stride)
+        read = [(reader([questions[key[1]]], [context[s : s + size]])[0], k) for k, s in enumerate(starts)]
+        out[key] = min(read, key=lambda r: (-r[0][1], r[1]))[0][0]
+    return out
+
+
+def test_answers_are_read_in_overlapping_windows(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "who wrote it? Ann Lee wrote it. " * 3), (1, "x" * 30 + " Bob who wrote it"), (2, ""), (3, None), (4, "nothing")], "doc_idx long, text string")
+    hits = spark.createDataFrame([("a", 1, 1, 1), ("a", 1, 2, 0), ("a", 2, 1, 2), ("b", 1, 1, 4), ("b", 1, 9, 0), ("b", 3, 1, 0)], "method string, qid long, rank int, doc_idx long")
+    questions = {1: "who wrote it", 2: "who else", 3: "no answer known", 4: "not found at all"}
+    queries = spark.createDataFrame(list(questions.items()), "qid long, question string")
+    answers = spark.createDataFrame([(1, "Bob!"), (2, "Carl"), (3, None), (4, "")], "qid long, answer string")
+    scored = qa.evaluate_answers(hits, docs, queries, answers, qa.entity_reader, size=40, stride=25)
+    rows = {(r.method, r.qid): r for r in scored.collect()}
+    # a missing answer is skipped; a question without a text has an empty one
+    assert set(rows) == {(m, q) for m in "ab" for q in (1, 2, 4)}
+    texts = {("a", 1): "x" * 30 + " Bob who wrote it\n" + "who wrote it? Ann Lee wrote it. " * 3, ("b", 1): "nothing"}
+    want = brute_answers(texts, 40, 25, qa.entity_reader, questions)
+    assert {k: rows[k].pred for k in texts} == want and want[("a", 1)] == "Bob"
+    assert (rows[("a", 1)].em, rows[("a", 2)].pred, rows[("a", 2)].f1, rows[("b", 4)].em, rows[("b", 1)].em) == (1.0, "", 0.0, 1.0, 0.0)
+    qa.write_answers(scored, str(tmp_path))
+    back = {r.method: (r.n, r.em) for r in spark.read.json(str(tmp_path / "qa_metrics.json")).collect()}
+    assert back == {"a": (3, 2 / 3), "b": (3, 1 / 3)}
+    assert spark.read.json(str(tmp_path / "qa_per_query.json")).count() == 6
+
+
+def test_texts_are_encoded_once(spark, tmp_path):
+    """The encoder sees each text once for each model, also over several corpora; the key depends on order."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def encoder(texts):
+        calls.add(len(texts))
+        return np.array([[len(t), 1.0] for t in texts])
+
+    cache = str(tmp_path / "cache")
+    docs = spark.createDataFrame([(0, "a", "one"), (1, "b", "three"), (2, "c", "one"), (3, "d", None)], "doc_idx long, doc_id string, text string")
+    first = {r.doc_idx: r.vec for r in embedding_cache.cached_encode(docs, encoder, "m", cache).collect()}
+    assert calls.value == 3 and np.allclose(first[0], np.array([3, 1]) / 10**0.5) and first[2] == first[0] and np.allclose(first[3], [0, 1])
+    more = docs.where("doc_idx > 0").unionByName(spark.createDataFrame([(9, "z", "seven")], docs.schema))
+    assert {r.doc_idx: r.vec for r in embedding_cache.cached_encode(more, encoder, "m", cache).collect()}[1] == first[1] and calls.value == 4
+    embedding_cache.cached_encode(docs, encoder, "m", cache).collect()
+    assert calls.value == 4
+    embedding_cache.cached_encode(docs, encoder, "other/model", cache).collect()
+    assert calls.value == 7
+    none = docs.where("doc_idx > 99")
+    assert embedding_cache.cached_encode(none, encoder, "m", cache).collect() == [] and calls.value == 7
+
+
+def test_content_key_depends_on_order(spark, monkeypatch):
+    rows = [(k, f"d{k}", f"text {k % 7}") for k in range(40)]
+    schema = "doc_idx long, doc_id string, text string"
+    frame = lambda r: spark.createDataFrame(r, schema).repartition(3)
+    swapped = [(1 - k if k < 2 else k, *rest) for k, *rest in rows]
+    for fan in (1000, 3):
+        monkeypatch.setattr(runs, "FAN", fan)
+        keys = [runs.content_key(m, frame(r)) for m, r in (("m", rows), ("m", rows[::-1]), ("n", rows), ("m", swapped), ("m", rows[:-1]), ("m", []))]
+        assert keys[0] == keys[1] and len(set(keys)) == 5
+        # only the order of the places counts
+        assert runs.content_key("m", frame([(k - 7, *rest) for k, *rest in rows])) == keys[0]
+
+
+def test_taggers(spark):
+    """Stripped, normalised, then each once; the pattern where the tagger cannot be loaded or fails."""
+    docs = spark.createDataFrame([(0, "Ann met the Big Apple and Ann."), (1, None), (2, "broken Carl")], "doc_idx long, text string")
+
+    def load():
+        def tag(texts):
+            if any("broken" in t for t in texts):
+                raise ValueError
+            return [[(" Ann ", "PERSON"), ("ANN", "ORG"), ("today", "DATE"), ("\u00a0", "GPE"), ("Big Apple", "GPE")] if t else [] for t in texts]
+
+        return tag
+
+    def missing():
+        raise ImportError("no model")
+
+    text_of = lambda k, load, **o: docs.where(F.col("doc_idx") == k).select(tagging.tagged_entities(F.col("text"), load, **o)).first()[0]
+    assert text_of(0, load) == ["Ann", "ANN", "Big Apple"] and text_of(0, load, mode="simple") == ["ann", "big apple"]
+    assert text_of(0, load, mode="lower", dedup=False) == ["ann", "ann", "big apple"] and text_of(1, load) == []
+    assert text_of(2, load) == ["Carl"] and text_of(0, missing) == ["Ann", "Big Apple"]
+    names = tagging.gazetteer({"New York": "GPE", "New York City": "GPE", "York": "PERSON", "Ann": "PERSON", "May": "DATE"})
+    assert names()(["In New York City, New Yorkers and York Ann's Annex_ Ann", ""]) == [[("New York City", "GPE"), ("York", "PERSON"), ("Ann", "PERSON"), ("Ann", "PERSON")], []]
+    e = engine_of(spark, ["ann lives in New York", "York again"], ["where is New York"], top_ks=(2,))
+    e.ner = names
+    assert {r.entity for r in e.graph.entities.collect()} == {"New York", "York"}
+    assert [r.doc_idx for r in methods.graph_method(e).orderBy("rank").collect()] == [0, 1]
+
+
 @pytest.mark.parametrize("kind", ["clusters", "noise"])
 def test_vector_index_is_stored_and_reaches_its_recall(spark, tmp_path, kind):
     """Built once and opened again: 0.95 of the exact answers to other questions, with under a tenth of the rows reranked."""
