@@ -36,10 +36,12 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship_code
 
-#: Labelled rows to learn from, at most; of each kind, those whose texts stay within so many bytes in order of a hash.
+#: Labelled rows to learn from, at most; of each kind, those whose texts stay within so many bytes in order of a hash,
+#: texts of more than ``LONG_TEXT`` bytes last.  The first of each kind is always among them.
 TOXIC_ROWS = 800
 CLEAN_ROWS = 2000
 TRAINING_BYTES = 6 << 20
+LONG_TEXT = 256 << 10
 WINDOW = 32
 STEP = 16
 HIDDEN = 12
@@ -369,8 +371,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str, text_c
     texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # both bounded by the limits; repeated ids count once
     texts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-    before = Window.partitionBy("toxic").orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = texts.withColumn("upto", F.sum(F.octet_length("text")).over(before)).where(F.col("upto") <= TRAINING_BYTES).drop("upto").toArrow().to_pylist()
+    # sizes alone decide, so no long text passes through the sorted partition; a long one never costs others their place
+    sizes = texts.select("doc_id", "toxic", F.octet_length("text").alias("size"))
+    in_order = Window.partitionBy("toxic").orderBy(F.col("size") > LONG_TEXT, *by)
+    upto = F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    kept = sizes.select("doc_id", upto.alias("upto"), F.row_number().over(in_order).alias("place")).where((F.col("upto") <= TRAINING_BYTES) | (F.col("place") == 1))
+    rows = texts.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi").toArrow().to_pylist()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] for r in rows], [r["toxic"] for r in rows], share
 

@@ -486,6 +486,22 @@ def test_toxicity(spark):
     assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in got if r.predicted == 0}
 
 
+def test_a_long_text_costs_no_other_its_place(spark):
+    """Texts of 10 MB, first in hash order of their kind: all short texts are learnt from, and a kind with long texts only keeps one."""
+    labelled = [(i, i % 2) for i in range(40) if zlib.crc32(str(i).encode()) % 5]
+    ids = spark.createDataFrame(labelled, "doc_id long, toxic int").orderBy(F.xxhash64("doc_id")).collect()
+    first = {kind: next(r.doc_id for r in ids if r.toxic == kind) for kind in (0, 1)}
+    labels = spark.createDataFrame(labelled, "doc_id long, toxic int")
+    short = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    text = F.when(F.col("doc_id").isin(*first.values()), F.repeat(F.lit("long words "), 1_000_000)).otherwise(F.col("text"))
+    texts, toxic, share = toxicity.labelled_sample(short.withColumn("text", text), labels, "doc_id", "text", "toxic")
+    assert sorted(texts) == sorted(f"text {i}" for i, _ in labelled if i not in first.values())
+    assert set(toxic) == {0, 1} and share == sum(t for _, t in labelled) / len(labelled)
+    text = F.when(F.col("doc_id") % 2 == 1, F.repeat(F.lit("long words "), 1_000_000)).otherwise(F.col("text"))
+    texts, toxic, _ = toxicity.labelled_sample(short.withColumn("text", text), labels, "doc_id", "text", "toxic")
+    assert sum(toxic) == 1 and toxic.count(0) == sum(1 - t for _, t in labelled)
+
+
 def test_toxicity_is_learnt_in_context():
     """Both kinds of texts have the same words, as often: only their order tells, so no word's statistics can."""
     rng = random.Random(16)
