@@ -19,8 +19,17 @@ from ..deploy import ship_code
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: Arrow batches of at most so many bytes keep Python workers small, however long the texts are.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder.  The session's batches are bounded from here on, unless the application bounds them itself."""
     ship_code(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(key):
+        # one size for the whole session: workers of another size would be kept beside them
+        spark.conf.set(key, str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
