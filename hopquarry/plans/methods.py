@@ -7,7 +7,9 @@ stored once per engine and setting; unknown names raise at once.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import contextlib
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -93,6 +95,14 @@ class Engine:
     scorer: Callable = dense.overlap_scorer
     #: Loads a tagger; without it, entities are found by the pattern.
     ner: Callable | None = None
+    #: Seconds that parts took: ``index``, ``graph`` and ``term_graph`` once, ``seed`` and ``ppr`` for the last rank.
+    times: dict[str, float] = field(default_factory=dict)
+
+    @contextlib.contextmanager
+    def timed(self, part: str) -> Iterator[None]:
+        began = time.time()
+        yield
+        self.times[part] = time.time() - began
 
     @property
     def k(self) -> int:
@@ -100,7 +110,8 @@ class Engine:
 
     @cached_property
     def index(self) -> lexical.LexicalIndex:
-        return lexical.build_index(self.corpus.docs)
+        with self.timed("index"):
+            return lexical.build_index(self.corpus.docs)
 
     @cached_property
     def aliases(self) -> DataFrame | None:
@@ -109,15 +120,17 @@ class Engine:
     @cached_property
     def graph(self) -> graph.Graph:
         s = self.settings
-        return graph.build_graph(
-            self.corpus.docs, self.aliases, s.entity_normalize, min_df=s.min_df, max_df_ratio=s.max_df_ratio, hub_penalty=s.hub_penalty,
-            hub_top_ratio=s.hub_top_ratio, edge_cap=s.edge_cap, normalization=s.norm, ner=self.ner,
-        )
+        with self.timed("graph"):
+            return graph.build_graph(
+                self.corpus.docs, self.aliases, s.entity_normalize, min_df=s.min_df, max_df_ratio=s.max_df_ratio, hub_penalty=s.hub_penalty,
+                hub_top_ratio=s.hub_top_ratio, edge_cap=s.edge_cap, normalization=s.norm, ner=self.ner,
+            )
 
     @cached_property
     def term_graph(self) -> graph.Graph:
         s = self.settings
-        return graph.build_term_graph(self.corpus.docs, s.term_min_df, s.term_max_df_ratio, s.term_norm)
+        with self.timed("term_graph"):
+            return graph.build_term_graph(self.corpus.docs, s.term_min_df, s.term_max_df_ratio, s.term_norm)
 
     @cached_property
     def _bm25(self) -> dict[int, DataFrame]:
@@ -146,14 +159,17 @@ class Engine:
 
     def page_rank(self, over: graph.Graph, seeds: DataFrame, k: int | None = None) -> DataFrame:
         s = self.settings
-        if s.backend == "kernel":
-            r = ppr.kernel(over.edges, seeds, s.alpha, s.max_iter, s.tol, s.mode, s.push_eps, s.push_max_steps, keep=k or self.k)
-        elif s.mode == "push":
-            r = ppr.forward_push(over.edges, seeds, s.alpha, s.push_eps, s.push_max_steps)
-        elif s.tol is not None:
-            r = ppr.converging_iteration(over.edges, seeds, s.alpha, s.max_iter, s.tol)
-        else:
-            r = ppr.power_iteration(over.edges, seeds, s.alpha, s.max_iter)
+        with self.timed("seed"):
+            seeds = stored(seeds, "seeds")
+        with self.timed("ppr"):
+            if s.backend == "kernel":
+                r = stored(ppr.kernel(over.edges, seeds, s.alpha, s.max_iter, s.tol, s.mode, s.push_eps, s.push_max_steps, keep=k or self.k), "vectors")
+            elif s.mode == "push":
+                r = ppr.forward_push(over.edges, seeds, s.alpha, s.push_eps, s.push_max_steps)
+            elif s.tol is not None:
+                r = ppr.converging_iteration(over.edges, seeds, s.alpha, s.max_iter, s.tol)
+            else:
+                r = ppr.power_iteration(over.edges, seeds, s.alpha, s.max_iter, seeds_stored=True)
         return ppr.ranked_documents(r, over, self.corpus.queries, seeds, k or self.k)
 
     def seeded(self, hits: DataFrame | None, k: int | None = None) -> DataFrame:

@@ -267,6 +267,17 @@ def test_content_key_depends_on_order(spark, monkeypatch):
         assert runs.content_key("m", frame([(k - 7, *rest) for k, *rest in rows])) == keys[0]
 
 
+def test_experiments_store_measured_times(spark, tmp_path):
+    e = engine_of(spark, ["Ann. Ben", "Ben. Cara", "nothing"], ["Ann", "no entity"], top_ks=(2,), max_iter=2)
+    experiment.run_experiment(e, ["bm25", "rm3", "graph", "graph_bm25_fallback"], str(tmp_path / "run"), {"dataset": "tables"})
+    rows = {r.method: r for r in runs.read_metrics(spark, str(tmp_path / "run" / "metrics.json")).collect()}
+    # each index counts once, for the method that first needs it
+    assert rows["bm25"].index_time_sec > 0 and rows["graph"].index_time_sec > 0 and rows["rm3"].index_time_sec == 0
+    assert all(r.query_time_sec > 0 and r.latency_stats.p99 is None and abs(r.latency_stats.mean - r.query_time_sec / 2) < 1e-9 for r in rows.values())
+    assert rows["bm25"].ppr_time_sec is None and 0 < rows["graph"].ppr_time_sec < rows["graph"].query_time_sec and rows["graph"].seed_time_sec > 0
+    assert (rows["graph_bm25_fallback"].fallback_count, rows["graph_bm25_fallback"].fallback_rate, rows["graph"].fallback_count) == (1, 0.5, None)
+
+
 def test_taggers(spark):
     """Stripped, normalised, then each once; the pattern where the tagger cannot be loaded or fails."""
     docs = spark.createDataFrame([(0, "Ann met the Big Apple and Ann."), (1, None), (2, "broken Carl")], "doc_idx long, text string")
