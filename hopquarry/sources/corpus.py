@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..deploy import ship_code
@@ -16,6 +16,9 @@ QUERIES = "qid string, question string, gold_titles array<string>"
 #: Context of multi-hop questions: titles with their sentences.
 HOTPOT = "id string, question string, answer string, supporting_facts struct<title:array<string>>, context struct<title:array<string>, sentences:array<array<string>>>"
 
+#: Words of a question that are looked up together, and characters of one too short for that.
+ANCHOR_WORDS, ANCHOR_CHARS = 5, 8
+
 
 @dataclass
 class Corpus:
@@ -83,11 +86,46 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("id is not null").select(F.col("id").alias("qid"), "answer")
 
 
+def _runs(items: Column, length: Column, glue: str) -> Column:
+    """All runs of so many items, as texts."""
+    starts = F.when(F.size(items) >= length, F.sequence(F.lit(1), F.size(items) - length + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda at: F.array_join(F.slice(items, at, length), glue))
+
+
+def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``qid, doc_idx, doc_id``: the documents whose text contains a question's, as it stands.
+
+    Where a text contains a question, all words of the question but the first and last stand whole in it.  The
+    longest run of up to ``ANCHOR_WORDS`` of them is the question's anchor; a question of fewer than three words has
+    its first ``ANCHOR_CHARS`` characters.  Documents meet questions by hashes of anchors, and texts are compared
+    only for the pairs found, so no pair is lost and none is wrong.  An empty question is in every text;
+    null questions and texts, and documents without a number, are in no pair.  Repeated rows count as often as they stand there.
+    """
+    words = queries.where("question is not null").select("qid", "question", F.split("question", " ").alias("words"))
+    inner = words.select("qid", "question", F.expr("slice(words, 2, greatest(size(words) - 2, 0))").alias("inner"))
+    inner = inner.withColumn("n", F.least(F.lit(ANCHOR_WORDS), F.size("inner")))
+    run = F.array_max(F.transform(_runs(F.col("inner"), F.col("n"), " "), lambda x: F.struct(F.length(x).alias("length"), x.alias("run"))))["run"]
+    start = F.substring("question", 1, ANCHOR_CHARS)
+    anchors = inner.select("qid", "n", F.length(start).alias("chars"), F.xxhash64(F.when(F.col("n") > 0, run).otherwise(start)).alias("anchor"))
+    # the few lengths that anchors have, as subqueries: texts are cut into runs of these lengths only
+    word_runs = anchors.where("n > 0").agg(F.collect_set("n")).scalar()
+    char_runs = anchors.where("n = 0").agg(F.collect_set("chars")).scalar()
+    texts = docs.select("doc_idx", "text", word_runs.alias("word_runs"), char_runs.alias("char_runs"))
+    parts = texts.select(
+        "doc_idx", "word_runs", "char_runs", F.split("text", " ").alias("words"), F.when(F.size("char_runs") > 0, F.split("text", "")).alias("chars")
+    )
+    hashed = lambda items, lengths, glue: F.flatten(F.transform(lengths, lambda n: F.transform(_runs(items, n, glue), lambda x: F.xxhash64(x))))
+    found = F.concat(hashed(F.col("words"), F.col("word_runs"), " "), F.coalesce(hashed(F.col("chars"), F.col("char_runs"), ""), F.array().cast("array<bigint>")))
+    keyed = parts.select("doc_idx", F.explode(F.array_distinct(found)).alias("anchor"))
+    pairs = keyed.join(anchors.select("qid", "anchor"), "anchor").select("doc_idx", "qid").distinct()
+    both = docs.select("doc_idx", "doc_id", "text").join(pairs, "doc_idx").join(queries.select("qid", "question"), "qid")
+    return both.where(F.contains("text", "question")).select("qid", "doc_idx", "doc_id")
+
+
 def read_tables(spark: SparkSession, sf_dir: str) -> Corpus:
     """The test tables as a corpus: ``documents``, with ``benchmark`` as questions.
 
-    A document is gold for a question whose text it contains.  The questions are
-    broadcast only as far as Spark's own size check lets them.
+    A document is gold for a question whose text it contains.
     """
     ship_code(spark)
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -98,8 +136,7 @@ def read_tables(spark: SparkSession, sf_dir: str) -> Corpus:
     first = F.get(extract_entities(F.col("text")), F.lit(0))
     docs = docs.withColumn("title", F.concat(F.coalesce(first, F.lit("Untitled")), F.lit(" ("), F.col("lang"), F.lit(")")))
     queries = benchmark.select(F.col("item_id").alias("qid"), normalize_whitespace(F.col("text")).alias("question"))
-    gold = docs.join(queries, F.contains(docs["text"], queries["question"])).select("qid", "doc_idx", "doc_id")
-    return Corpus(docs.select("doc_idx", "doc_id", "title", "text"), queries, gold)
+    return Corpus(docs.select("doc_idx", "doc_id", "title", "text"), queries, containing(docs, queries))
 
 
 SOURCES: dict[str, Callable[..., Corpus]] = {

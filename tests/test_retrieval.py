@@ -435,6 +435,21 @@ def test_experiment_round_trip(spark, tmp_path):
     assert "\\hline" in runs.latex_table([{"a_b": 1.0}], {"a_b": "A"})
 
 
+def test_gold_by_anchors_equals_contains(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["ab", "b", "cab", "a", "é", "xab"]) for _ in range(rng.randrange(0, 40))) for _ in range(120)] + [None, "", "a  b", "日本 語 ab"]
+    asked = [t[i : i + rng.randrange(0, 30)] for t in texts if t for i in (rng.randrange(0, len(t)),)] + [None, "", " ", "ab", "b c", "not there at all in them", "本 語"]
+    asked += asked[:3]
+    docs = spark.createDataFrame([(i % 123, f"d{i}", t) for i, t in enumerate(texts)] + [(None, "n", "ab ab ab")], "doc_idx long, doc_id string, text string")
+    queries = spark.createDataFrame([(i % 100, q) for i, q in enumerate(asked)], "qid long, question string")
+    pairs = corpus.containing(docs, queries)
+    want = Counter((i % 100, j % 123, f"d{j}") for i, q in enumerate(asked) for j, t in enumerate(texts) if q is not None and t is not None and q in t)
+    assert Counter(map(tuple, pairs.collect())) == want and want
+    assert corpus.containing(docs.limit(0), queries).count() == 0 and corpus.containing(docs, queries.limit(0)).count() == 0
+    long = queries.where(F.size(F.split("question", " ")) > 4)
+    assert "NestedLoop" not in corpus.containing(docs, long)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_multihop_source(spark, tmp_path):
     rows = [
         {"id": "a", "question": "Q  one", "answer": "x", "supporting_facts": {"title": ["P", "P"]}, "context": {"title": ["P", "R"], "sentences": [["First.", " Second."], ["Other."]]}},
