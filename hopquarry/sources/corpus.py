@@ -16,8 +16,8 @@ QUERIES = "qid string, question string, gold_titles array<string>"
 #: Context of multi-hop questions: titles with their sentences.
 HOTPOT = "id string, question string, answer string, supporting_facts struct<title:array<string>>, context struct<title:array<string>, sentences:array<array<string>>>"
 
-#: Words of a question that are looked up together, and characters of one too short for that.
-ANCHOR_WORDS, ANCHOR_CHARS = 5, 8
+#: Words of a question that are looked up together, or characters of one too short for that.
+ANCHOR = 5
 
 
 @dataclass
@@ -86,38 +86,44 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("id is not null").select(F.col("id").alias("qid"), "answer")
 
 
-def _runs(items: Column, length: Column, glue: str) -> Column:
-    """All runs of so many items, as texts."""
-    starts = F.when(F.size(items) >= length, F.sequence(F.lit(1), F.size(items) - length + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda at: F.array_join(F.slice(items, at, length), glue))
+def _runs(items: Column) -> Column:
+    """What starts at each place: ``ANCHOR`` items, nulls after the last."""
+    fields = ", ".join(f"c{i}: string" for i in range(1, ANCHOR + 1))
+    return F.arrays_zip(*[F.slice(items, i, F.size(items)) for i in range(1, ANCHOR + 1)]).cast(f"array<struct<{fields}>>")
+
+
+def _longest(items: Column, n: Column) -> Column:
+    """Of all runs of ``n`` items, the one with most characters."""
+    starts = F.sequence(F.lit(1), F.size(items) - n + 1)
+    return F.array_max(F.transform(starts, lambda at: F.struct(F.length(F.array_join(F.slice(items, at, n), " ")).alias("length"), F.slice(items, at, n).alias("run"))))["run"]
 
 
 def containing(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """``qid, doc_idx, doc_id``: the documents whose text contains a question's, as it stands.
 
     Where a text contains a question, all words of the question but the first and last stand whole in it.  The
-    longest run of up to ``ANCHOR_WORDS`` of them is the question's anchor; a question of fewer than three words has
-    its first ``ANCHOR_CHARS`` characters.  Documents meet questions by hashes of anchors, and texts are compared
+    longest run of up to ``ANCHOR`` of them is the question's anchor; a question of fewer than three words has its
+    first characters instead.  Documents meet questions by hashes of anchors, and texts are compared
     only for the pairs found, so no pair is lost and none is wrong.  An empty question is in every text;
     null questions and texts, and documents without a number, are in no pair.  Repeated rows count as often as they stand there.
     """
     words = queries.where("question is not null").select("qid", "question", F.split("question", " ").alias("words"))
     inner = words.select("qid", "question", F.expr("slice(words, 2, greatest(size(words) - 2, 0))").alias("inner"))
-    inner = inner.withColumn("n", F.least(F.lit(ANCHOR_WORDS), F.size("inner")))
-    run = F.array_max(F.transform(_runs(F.col("inner"), F.col("n"), " "), lambda x: F.struct(F.length(x).alias("length"), x.alias("run"))))["run"]
-    start = F.substring("question", 1, ANCHOR_CHARS)
-    anchors = inner.select("qid", "n", F.length(start).alias("chars"), F.xxhash64(F.when(F.col("n") > 0, run).otherwise(start)).alias("anchor"))
-    # the few lengths that anchors have, as subqueries: texts are cut into runs of these lengths only
-    word_runs = anchors.where("n > 0").agg(F.collect_set("n")).scalar()
-    char_runs = anchors.where("n = 0").agg(F.collect_set("chars")).scalar()
-    texts = docs.select("doc_idx", "text", word_runs.alias("word_runs"), char_runs.alias("char_runs"))
-    parts = texts.select(
-        "doc_idx", "word_runs", "char_runs", F.split("text", " ").alias("words"), F.when(F.size("char_runs") > 0, F.split("text", "")).alias("chars")
-    )
-    hashed = lambda items, lengths, glue: F.flatten(F.transform(lengths, lambda n: F.transform(_runs(items, n, glue), lambda x: F.xxhash64(x))))
-    found = F.concat(hashed(F.col("words"), F.col("word_runs"), " "), F.coalesce(hashed(F.col("chars"), F.col("char_runs"), ""), F.array().cast("array<bigint>")))
-    keyed = parts.select("doc_idx", F.explode(F.array_distinct(found)).alias("anchor"))
-    pairs = keyed.join(anchors.select("qid", "anchor"), "anchor").select("doc_idx", "qid").distinct()
+    inner = inner.select("*", (F.size("inner") == 0).alias("short"), F.least(F.lit(ANCHOR), F.size("inner")).alias("n"))
+    chars = F.slice(F.split("question", ""), F.lit(1), F.least(F.lit(ANCHOR), F.length("question")))
+    anchors = inner.select("qid", "short", F.when(F.col("short"), chars).otherwise(_longest(F.col("inner"), F.col("n"))).alias("run"))
+    anchors = anchors.select("qid", "short", F.size("run").alias("n"), F.xxhash64("run").alias("anchor"))
+    # the few lengths that anchors have, and whether any is of characters: texts are cut into such runs only
+    lengths, short = anchors.agg(F.collect_set("n")).scalar(), anchors.agg(F.max("short")).scalar()
+    texts = docs.select("doc_idx", "text", lengths.alias("lengths"), short.alias("short"))
+    parts = texts.select("doc_idx", "lengths", "short", F.split("text", " ").alias("words"), F.when(F.col("short"), F.split("text", "")).alias("chars"))
+    places = F.when(F.col("short"), F.concat(_runs(F.col("words")), _runs(F.col("chars")))).otherwise(_runs(F.col("words")))
+    runs = parts.select("doc_idx", "lengths", F.explode(places).alias("run")).select("doc_idx", "run", F.explode("lengths").alias("n"))
+    # a hash of several columns is that of an array with the same items
+    anchor = F.xxhash64(F.array().cast("array<string>"))
+    for n in range(1, ANCHOR + 1):
+        anchor = F.when(F.col("n") == n, F.xxhash64(*[f"run.c{i}" for i in range(1, n + 1)])).otherwise(anchor)
+    pairs = runs.select("doc_idx", anchor.alias("anchor")).join(anchors.select("qid", "anchor"), "anchor").select("doc_idx", "qid").distinct()
     both = docs.select("doc_idx", "doc_id", "text").join(pairs, "doc_idx").join(queries.select("qid", "question"), "qid")
     return both.where(F.contains("text", "question")).select("qid", "doc_idx", "doc_id")
 
