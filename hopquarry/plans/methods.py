@@ -172,13 +172,17 @@ class Engine:
                 r = ppr.power_iteration(over.edges, seeds, s.alpha, s.max_iter, seeds_stored=True)
         return ppr.ranked_documents(r, over, self.corpus.queries, seeds, k or self.k)
 
-    def seeded(self, hits: DataFrame | None, k: int | None = None) -> DataFrame:
-        """Documents by PageRank from entities and, where given, the first ``k`` hits."""
+    def start(self, hits: DataFrame | None, k: int | None = None) -> DataFrame:
+        """Seeds from entities and, where given, the first ``k`` hits."""
         s = self.settings
         docs = None
         if hits is not None:
             docs = ppr.doc_seeds(hits.where(F.col("rank") <= (k or s.seed_docs_k)), s.seed_weighting, s.seed_temp)
-        return self.page_rank(self.graph, ppr.mix_seeds(self.entity_seeds, docs, s.seed_mix_mode, s.seed_mix_alpha))
+        return ppr.mix_seeds(self.entity_seeds, docs, s.seed_mix_mode, s.seed_mix_alpha)
+
+    def seeded(self, hits: DataFrame | None, k: int | None = None) -> DataFrame:
+        """Documents by PageRank from these seeds."""
+        return self.page_rank(self.graph, self.start(hits, k))
 
 
 def bm25(e: Engine) -> DataFrame:
@@ -218,8 +222,12 @@ def rrf_rerank(e: Engine) -> DataFrame:
     return dense.rerank(candidates, e.corpus.docs, e.corpus.queries, e.scorer, e.k)
 
 
+def entity_start(e: Engine) -> DataFrame:
+    return e.start(None)
+
+
 def graph_method(e: Engine) -> DataFrame:
-    return e.seeded(None)
+    return e.page_rank(e.graph, entity_start(e))
 
 
 def fallback_queries(e: Engine) -> DataFrame:
@@ -229,13 +237,17 @@ def fallback_queries(e: Engine) -> DataFrame:
     return e.corpus.queries.select("qid").join(found.select("qid").distinct(), "qid", "left_anti")
 
 
-def graph_bm25_fallback(e: Engine) -> DataFrame:
+def fallback_start(e: Engine) -> DataFrame:
+    """Entities, and for questions without any the first hits."""
     s = e.settings
     hits = e.bm25_hits().where(F.col("rank") <= max(1, s.fallback_k)).join(fallback_queries(e), "qid", "left_semi")
     found = ppr.question_entities(e.corpus.queries, e.aliases, "none" if s.compat_fallback else s.entity_normalize, e.ner)
     entity = ppr.entity_seeds(found, e.graph.entities, s.seed_entity_df_power)
-    seeds = ppr.mix_seeds(entity, ppr.doc_seeds(hits, s.seed_weighting, s.seed_temp), s.seed_mix_mode, s.seed_mix_alpha)
-    return e.page_rank(e.graph, seeds)
+    return ppr.mix_seeds(entity, ppr.doc_seeds(hits, s.seed_weighting, s.seed_temp), s.seed_mix_mode, s.seed_mix_alpha)
+
+
+def graph_bm25_fallback(e: Engine) -> DataFrame:
+    return e.page_rank(e.graph, fallback_start(e))
 
 
 def tfidf_graph(e: Engine) -> DataFrame:
@@ -243,8 +255,12 @@ def tfidf_graph(e: Engine) -> DataFrame:
     return e.page_rank(e.term_graph, seeds)
 
 
+def hybrid_start(e: Engine) -> DataFrame:
+    return e.start(e.bm25_hits(), e.settings.seed_k_bm25)
+
+
 def graph_hybrid(e: Engine) -> DataFrame:
-    return e.seeded(e.bm25_hits(), e.settings.seed_k_bm25)
+    return e.page_rank(e.graph, hybrid_start(e))
 
 
 def graph_rrf(e: Engine) -> DataFrame:
@@ -288,8 +304,9 @@ def retrieve(engine: Engine, methods: list[str]) -> DataFrame:
 def with_settings(engine: Engine, **changes) -> Engine:
     """The same corpus and models with other settings; what does not depend on the changed ones is kept."""
     out = Engine(engine.corpus, replace(engine.settings, **changes), engine.doc_vectors, engine.query_vectors, engine.scorer, engine.ner)
+    changed = {name for name, value in changes.items() if getattr(engine.settings, name) != value}
     kept = {"index": (), "_bm25": (), "aliases": ("use_aliases",), "graph": GRAPH_SETTINGS, "term_graph": TERM_GRAPH_SETTINGS}
     for name, needs in kept.items():
-        if name in engine.__dict__ and not set(needs) & set(changes):
+        if name in engine.__dict__ and not set(needs) & changed:
             out.__dict__[name] = engine.__dict__[name]
     return out

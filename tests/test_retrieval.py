@@ -450,6 +450,31 @@ def test_gold_by_anchors_equals_contains(spark):
     assert "NestedLoop" not in corpus.containing(docs, long)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("method", ["graph_hybrid", "graph_bm25_fallback"])
+def test_a_sweep_equals_single_runs(spark, method, monkeypatch):
+    texts = ["Ann Lee met Bob", "Bob saw Cat Ray", "Cat Ray and Ann Lee", "plain words", "Bob alone here"]
+    e = engine_of(spark, texts, ["where is Ann Lee", "Cat Ray or Bob", "words here", "plain"], top_ks=(1, 3), max_iter=3)
+    grid = analysis.parameter_grid(alpha=[0.1, 0.5], seed_docs_k=[1, 2], hub_penalty=[0.0, 0.5])
+    walks, built = [], []
+    walk, build = ppr.power_iteration, graph.build_graph
+    monkeypatch.setattr(ppr, "power_iteration", lambda *a, **k: walks.append(1) or walk(*a, **k))
+    monkeypatch.setattr(graph, "build_graph", lambda *a, **k: built.append(1) or build(*a, **k))
+    hits = experiment.sweep_rankings(e, grid, method)
+    got = {(r.config, r.qid, r["rank"]): (r.doc_idx, round(r.score, 9)) for r in hits.collect()}
+    assert len(walks) == len(built) == 2
+    want = {}
+    for at in (0, 7):
+        for r in methods.METHODS[method](methods.with_settings(e, **grid[at])).collect():
+            want[at, r.qid, r["rank"]] = (r.doc_idx, round(r.score, 9))
+    assert {k: v for k, v in got.items() if k[0] in (0, 7)} == want and want
+    if method == "graph_hybrid":
+        table = experiment.sweep(e, grid, method)
+        assert table.columns[:4] == ["alpha", "seed_docs_k", "hub_penalty", "method"]
+        assert {(r.alpha, r.seed_docs_k, r.hub_penalty) for r in table.collect()} == {tuple(g.values()) for g in grid}
+        with pytest.raises(ValueError):
+            experiment.sweep(e, [{"alpha": 0.1}, {"max_iter": 2}], method)
+
+
 def test_multihop_source(spark, tmp_path):
     rows = [
         {"id": "a", "question": "Q  one", "answer": "x", "supporting_facts": {"title": ["P", "P"]}, "context": {"title": ["P", "R"], "sentences": [["First.", " Second."], ["Other."]]}},
