@@ -58,7 +58,7 @@ def test_term_graph_of_repeated_ids_and_blocks(spark, monkeypatch):
 def test_kernel_of_a_larger_graph_goes_by_blocks(spark, monkeypatch):
     from hopquarry.plans import methods
 
-    monkeypatch.setattr(ppr, "KERNEL_EDGES", 3)
+    monkeypatch.setattr(ppr, "WHOLE_EDGES", 3)
     e = engine_of(spark, ["Ann. Ben", "Ben. Cara", "Cara. Dan"], ["Ann"], top_ks=(3,), max_iter=3)
     plain = [tuple(r) for r in methods.graph_method(e).orderBy("rank").collect()]
     assert plain == [tuple(r) for r in methods.graph_method(methods.with_settings(e, backend="kernel")).orderBy("rank").collect()] and plain
