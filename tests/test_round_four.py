@@ -55,6 +55,24 @@ def test_term_graph_of_repeated_ids_and_blocks(spark, monkeypatch):
         assert best(got, 5) == best(want, 5) and want
 
 
+def test_entities_travel_many_in_a_row(spark, monkeypatch):
+    monkeypatch.setattr(walk, "BLOCK_DOCS", 60)
+    written, keep = [], walk.stored
+    monkeypatch.setattr(walk, "stored", lambda df, label: written.append((label, keep(df, label))) or written[-1][1])
+    monkeypatch.setattr(walk, "_forget", lambda rows: None)
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randint(0, 40)))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_idx long, text string").repartition(3)
+    g = graph.build_term_graph(docs, 2, 0.5)
+    assert g.blocks.n_blocks == 4 and g.blocks.rows > 500
+    seeds = g.entities.where("entity in ('w1', 'w3', 'w5')").select(F.lit("q").alias("qid"), (-1 - F.col("ent_idx")).cast("long").alias("node"), F.lit(0.5).alias("s")).localCheckpoint()
+    got = walk.best_documents(g.blocks, seeds, 0.15, 5, 7).collect()
+    want = ppr.power_iteration(g.edges, seeds, 0.15, 5).where("node >= 0").collect()
+    assert best(got, 7) == best(want, 7) and want
+    # not a row for each entity and block
+    assert all(df.count() < 50 for label, df in written if label == "rows")
+
+
 def test_kernel_of_a_larger_graph_goes_by_blocks(spark, monkeypatch):
     from hopquarry.plans import methods
 
